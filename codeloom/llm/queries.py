@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.bpe import encode
 from codeloom.llm.common import table
+from codeloom.llm.language import language, learn
+from codeloom.llm.media import media_digests
+from codeloom.llm.quality import quality
 from codeloom.llm.substring_dedup import substring_dedup
 from codeloom.llm.token_counts import token_counts
 
@@ -17,10 +20,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language(docs, learn(docs)).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
