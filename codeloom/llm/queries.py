@@ -11,6 +11,7 @@ from codeloom.llm.bpe import encode
 from codeloom.llm.common import table
 from codeloom.llm.language import language, learn
 from codeloom.llm.media import media_digests
+from codeloom.llm.near_dedup import near_duplicates
 from codeloom.llm.quality import quality
 from codeloom.llm.substring_dedup import substring_dedup
 from codeloom.llm.token_counts import token_counts
@@ -24,6 +25,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
