@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.bpe import encode
 from codeloom.llm.common import table
+from codeloom.llm.embedding_dedup import near_vectors
 from codeloom.llm.language import language, learn
 from codeloom.llm.media import media_digests
 from codeloom.llm.near_dedup import near_duplicates
@@ -29,6 +30,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
