@@ -11,7 +11,9 @@ from codeloom.llm.bpe import encode
 from codeloom.llm.common import table
 from codeloom.llm.embedding_dedup import near_vectors
 from codeloom.llm.language import language, learn
+from codeloom.llm.licenses import scan
 from codeloom.llm.media import media_digests
+from codeloom.llm.mixing import label_domains, mix
 from codeloom.llm.near_dedup import near_duplicates
 from codeloom.llm.quality import quality
 from codeloom.llm.substring_dedup import substring_dedup
@@ -34,6 +36,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -51,6 +57,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
