@@ -1,8 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: each stage works on all that the one before it kept, through one operator of the llm package.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between
+stages the rows are written as Parquet and read again. Rows with null doc_id pass the classifier and near-dedup like any
+other text where the operator defines that; see the operators' own notes.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.llm.bpe import encode
+from codeloom.llm.common import cut, table
+from codeloom.llm.mixing import copies, label_domains, mix
+from codeloom.llm.near_dedup import near_duplicates
+from codeloom.llm.quality import quality
+from codeloom.llm.substring_dedup import substring_dedup
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is in `ids`, with docs' own columns."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return _kept(docs, quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the least doc_id."""
+    return _kept(docs, near_duplicates(docs).where("kept"))
+
+
+def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds; documents that held nothing else go."""
+    found = substring_dedup(docs, texts=True).where("n_removed = 0 or n_removed < n_words").select("doc_id", "kept_text")
+    rest = docs.drop("text", "n_chars").join(found, "doc_id").withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
+    return rest.select(*docs.columns)
+
+
+def reweigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their fitted rates say: domains that are short of their target repeat, others thin out."""
+    rates = mix(docs, label_domains(table(spark, sf_dir, "labels"))).select("doc_id", copies(F.col("rate"), F.col("doc_id")).alias("_copies"))
+    taken = docs.join(rates.where("_copies > 0"), "doc_id")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document that is left."""
+    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("quality classifier", classify), ("near-dedup", deduplicate), ("substring dedup", strip_passages), ("mixing", reweigh), ("BPE encoding", tokenise)]
+
+#: Trained stages can't be put in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs, like="stage")
+    return docs
