@@ -7,8 +7,8 @@ the expected tokens of each domain, sum of r_d * tokens_d * p_dk, match the targ
 
     1/2 e' W e  +  ridge/2 sum_d t_d / T (r_d - 1)^2,   r_d >= 0,   e_k = (sum_d r_d t_d p_dk) / T - target_k
 
-with t tokens and T their sum. The weights W are the inverse of sum_d t_d / T p_d p_d', which makes every direction of e
-equally steep; the ridge keeps rates near 1 and makes the solution unique.
+with t tokens and T their sum. The metric W is the inverse of sum t_d / T p_d p_d' over the documents whose rate is above
+0, which makes every direction of e equally steep; a step that does not come nearer is halved. The ridge keeps rates near 1.
 
 Plan. One narrow pass over the texts writes a few numbers a document to the shared folder. A gradient needs the K domain
 residuals only, and a document's rate is a function of its posteriors and of the residuals so far, so each step is one
@@ -125,15 +125,15 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.select("doc_id", "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
-def _rate(history: list[list[float]], step: float, ridge: float) -> Column:
-    """The rate after the projected steps whose scaled residuals are `history`, from rate 1."""
+def _rate(history: list[list[float]], ridge: float) -> Column:
+    """The rate after the projected steps in `history` (each the negative change per unit of posterior), from rate 1."""
     if not history:
         return F.lit(1.0)
     steps = F.from_json(F.lit(json.dumps(history)), "array<array<double>>")
 
-    def move(r: Column, res: Column) -> Column:
-        slope = F.aggregate(F.zip_with("p", res, lambda x, y: x * y), F.lit(0.0), lambda a, y: a + y)
-        return F.greatest(F.lit(0.0), r - F.lit(step) * (slope + F.lit(ridge) * (r - 1)))
+    def move(r: Column, u: Column) -> Column:
+        slope = F.aggregate(F.zip_with("p", u, lambda x, y: x * y), F.lit(0.0), lambda a, y: a + y)
+        return F.greatest(F.lit(0.0), r - slope - F.lit(ridge / (1 + ridge)) * (r - 1))
 
     return F.aggregate(steps, F.lit(1.0), move)
 
@@ -141,31 +141,37 @@ def _rate(history: list[list[float]], step: float, ridge: float) -> Column:
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], *, steps: int = STEPS, ridge: float = RIDGE, close: float = CLOSE) -> DataFrame:
     """`members` with `rate`. Targets are shares of the tokens there are."""
     k = len(domains)
-
-    def totals(rate: Column) -> list[float]:
-        row = members.select("tokens", "p", rate.alias("r")).agg(*[F.sum(F.col("r") * F.col("tokens") * F.get("p", F.lit(i))).alias(f"d{i}") for i in range(k)]).first()
-        return [float(x or 0.0) for x in row]
-
-    products = [F.sum(F.col("tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
-    gram = np.array([float(x or 0.0) for x in members.agg(*products).first()]).reshape(k, k)
-    now = totals(F.lit(1.0))
-    total = sum(now)
+    each = [F.get("p", F.lit(i)) for i in range(k)]
+    sums = [F.sum(F.col("r") * F.col("tokens") * x) for x in each]
+    sums += [F.sum(F.when(F.col("r") > 0, F.col("tokens")) * x * y) for x in each for y in each]
+
+    def state(history: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' tokens at these rates, and the products of posteriors over the documents that count."""
+        row = members.select("tokens", "p", _rate(history, ridge).alias("r")).agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()
+        got = np.array([float(x or 0.0) for x in row])
+        return got[:k], got[k:].reshape(k, k)
+
+    now, gram = state([])
+    total = float(now.sum())
     if total <= 0:
         return members.withColumn("rate", F.lit(1.0))
     want = np.array([targets.get(d, 0.0) if x / total > 1e-9 else 0.0 for d, x in zip(domains, now, strict=True)])
     if not want.sum():
         return members.withColumn("rate", F.lit(1.0))
     want /= want.sum()
-    weights = np.linalg.pinv(gram / total, rcond=1e-9, hermitian=True)
-    step, history, before = 1 / (1 + ridge), [], np.inf
+    history: list[list[float]] = []
+    off, scale = now / total - want, 1.0
     for _ in range(steps):
-        off = np.array(now) / total - want
-        if np.abs(off).max() < close or np.abs(off - before).max() < close / 100:
+        if np.abs(off).max() < close or scale < 0.01:
             break
-        before = off
-        history.append((weights @ off).tolist())
-        now = totals(_rate(history, step, ridge))
-    return members.withColumn("rate", _rate(history, step, ridge))
+        move = scale * np.linalg.pinv(gram / total, rcond=1e-9, hermitian=True) @ off / (1 + ridge)
+        now, next_gram = state([*history, move.tolist()])
+        if (gap := now / total - want) @ gap < off @ off:
+            history.append(move.tolist())
+            off, gram, scale = gap, next_gram, min(1.0, 2 * scale)
+        else:
+            scale /= 2
+    return members.withColumn("rate", _rate(history, ridge))
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
