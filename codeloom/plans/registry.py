@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.plans.queries import QUERIES, SQL
+
+SMALLEST = "/root/testdata/sf0.001"
+
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    """Files ranked by references, and the best symbols within a token budget."""
+    return QUERIES["ranked_map"](spark, SMALLEST)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
