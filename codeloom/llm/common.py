@@ -49,6 +49,15 @@ def text_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(row[0] or 0), int(row[1])
 
 
+def hashed_sample(rows: DataFrame, key: str, size: int, total: int) -> DataFrame:
+    """About `size` of the `total` rows, those whose key's hash is least; all if there are no more.
+
+    A plain filter: unlike a top-n it sends no more to the driver when there are more tasks.
+    """
+    share = min(1.0, size / max(total, 1))
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes of all rows end to end, row offsets). Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,6 +1,6 @@
 """Near-duplicate vectors: iterative quantisation to balanced binary codes, multi-index Hamming tables, exact rerank.
 
-Method. On a bounded sample (`SAMPLE` vectors of least hash) the vectors' principal axes are rotated by iterative
+Method. On a bounded sample (about `SAMPLE` vectors of least hash) the vectors' principal axes are rotated by iterative
 quantisation (alternating signs and an orthogonal Procrustes step) so that signs lose little; thresholds are the sample's
 medians, which balances every bit. Each vector gets 64-bit codes. Codes are split in chunks about log2(vectors) bits wide,
 so that a table's bucket holds about one unrelated vector at any input size; a vector is entered under its chunk and under
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, whole_groups
+from codeloom.llm.common import cut, hashed_sample, whole_groups
 from codeloom.llm.components import components
 
 SAMPLE = 4096
@@ -102,7 +102,7 @@ def _candidates(nodes: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
     """Distinct pairs (a, b) of nodes of length d that meet in a bucket and whose first codes are near."""
     width, count = chunks(n, cosine)
     codes = -(-count // (64 // width))
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").collect()
+    sample = sorted(hashed_sample(nodes, "node", SAMPLE, n).select("node", "v").collect())
     projection, thresholds = quantiser(np.array([r.v for r in sample]), codes)
     far = distance(cosine)
 

@@ -9,8 +9,8 @@ is fitted on a part of the sample kept aside, and the least calibrated probabili
 Since the softmax is linear in the mean, a text's logits are the mean of one small vector for each bucket: prediction is
 one gather and one segmented sum over the bytes of a batch, without a Python object for a word.
 
-Plan: one scan with a bounded top-n for the sample (`SAMPLE` rows of at most `SAMPLE_BYTES` bytes, least hash of doc_id
-first), training on the driver, then one narrow map over whole texts.
+Plan: a count and one filtered scan for the sample (about `SAMPLE` rows of least hash of doc_id, those of at most
+`SAMPLE_BYTES` bytes), training on the driver, then one narrow map over whole texts.
 
 Defined results. Null text or text without a letter: `und`, score 0, not accepted. Without a labelled row every
 prediction is `und`. Rows with null doc_id are never learned from; held_out is then null. Ties go to the language that
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_pieces, text_buffer
+from codeloom.llm.common import hashed_sample, small_pieces, text_buffer
 
 BUCKETS, DIMENSIONS = 1 << 13, 8
 SAMPLE, SAMPLE_BYTES = 4000, 16_384
@@ -143,10 +143,11 @@ def train(texts: list[str], langs: list[str], *, epochs: int = 12, rate: float =
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """Trains on `docs` (doc_id, text, lang): the `sample` labelled rows outside the held-out fold of least hash."""
+    """Trains on `docs` (doc_id, text, lang): about `sample` labelled rows of least hash outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text").between(1, sample_bytes)))
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(sample).collect()
+    rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    few = hashed_sample(rows, "doc_id", sample, rows.select("doc_id", "lang").count()).where(F.octet_length("text").between(1, sample_bytes))
+    got = sorted(few.collect(), key=lambda r: (r.doc_id, r.text, r.lang))
     return train([r.text for r in got], [r.lang for r in got]) if got else None
 
 

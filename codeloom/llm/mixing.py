@@ -1,6 +1,6 @@
 """Mixing documents to target domain weights by soft membership. DataFrame functions only; no Python runs on executors.
 
-Method. A labelled table names the domain of some documents. On a bounded sample of it (`SAMPLE` labels of least hash) a
+Method. A labelled table names the domain of some documents. On a bounded sample of it (about `SAMPLE` labels of least hash) a
 naive Bayes classifier is fitted: Gaussian densities of a few text statistics, and presence of the `VOCABULARY` words that
 tell domains apart best. Every document gets posteriors p_d over domains. Nonnegative rates r_d are then fitted so that
 the expected tokens of each domain, sum of r_d * tokens_d * p_dk, match the targets, by projected gradient descent on
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut
+from codeloom.llm.common import cut, hashed_sample
 
 SAMPLE = 4000
 VOCABULARY = 96
@@ -92,10 +92,10 @@ class Classifier:
 
 
 def learn(docs: DataFrame, domains: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Classifier | None:
-    """Fits on the documents of the `sample` labels (doc_id, domain) of least hash."""
+    """Fits on the documents of about `sample` labels (doc_id, domain) of least hash."""
     marked = domains.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = cut(_measured(docs.join(F.broadcast(few), "doc_id", "left_semi")).join(F.broadcast(few), "doc_id"), like="sample")  # `few` is bounded by `sample`
+    few = cut(hashed_sample(marked, "doc_id", sample, marked.count()), like="labels")
+    rows = cut(_measured(docs.join(F.broadcast(few), "doc_id", "left_semi")).join(F.broadcast(few), "doc_id"), like="sample")  # `few` has about `sample` rows
     stats = [F.avg(s).alias(f"m_{s}") for s in _STATS] + [F.stddev_pop(s).alias(f"s_{s}") for s in _STATS]
     got = sorted(rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *stats).collect(), key=lambda r: r.domain)
     if not got:
