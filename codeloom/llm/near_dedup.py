@@ -11,8 +11,11 @@ Plan. Equal sets are one node from the start. For each key its least and greates
 with the leaders of its keys, which is linear in the nodes whatever a group's size. Pairs within the signature distance
 are confirmed on their texts, and components are built from the links. Only keys whose nodes still lie in several
 components can hide a link that would matter: their nodes are compared in blocks of bounded size (a group of g nodes is
-dealt to pairs of blocks), again pairs within the distance and in different components only, confirmed as before. No
-group meets in one task, no pair inside a component is made, and no link between components is lost.
+dealt to pairs of blocks). First each node names its most similar partner in another component, which is linear again;
+those are confirmed and joined. Then all pairs that still lie in different components are tried. A pair is emitted only
+if it is within the distance, its sets' sizes allow the similarity, and a finer sketch (the least hash in each of 512
+ranges, one byte each) does not rule it out by `DEVIATIONS` standard deviations. No group meets in one task, no pair
+inside a component is made, and no link between components is lost but by those bounds.
 
 Defined results. No text or no words: empty set, n_shingles 0, own component, kept. Fewer than `size` words: the whole
 sequence is the one shingle. Rows with equal doc_id are members of their sets like any other. Null doc_id: never a
@@ -38,6 +41,9 @@ PLACES = 24
 DISTANCE = 14
 #: Places of each chunk and the errors it is allowed: the sum of errors + 1 is 15 > DISTANCE.
 CHUNKS = [(4, 2), (4, 2), (4, 2), (4, 1), (4, 1), (4, 1)]
+#: How far below the limit a sketch's estimate may lie.
+DEVIATIONS = 3.7
+RANGES = 512
 #: Nodes of a block in the comparison of large groups.
 BLOCK = 128
 _SHORT_BASE = 0x8CB92BA72F3D8DD7
@@ -72,21 +78,41 @@ def shingles(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray
 
 
 def sets(column: pa.Array, size: int = SIZE):
-    """Of each text with words: its row, number of distinct shingles, a hash of the set, and the signature (16-bit places)."""
+    """Of each text with words: its row, number of distinct shingles, a hash of the set, the signature (16-bit places) and the sketch."""
     row, h = shingles(column, size)
     if not len(row):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.uint16)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
-    row, h = row[new], h[new]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.uint16), np.zeros((0, RANGES), np.uint8)
+    g = mix(h ^ np.uint64(0x2545F4914F6CDD1D))
+    order = np.lexsort((g, row))
+    row, h, g = row[order], h[order], g[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (g[1:] != g[:-1])]
+    row, h, g = row[new], h[new], g[new]
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     count = np.diff(np.r_[first, len(row)])
     key = mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), first) + count.astype(np.uint64))
     signature = np.empty((len(first), PLACES), np.uint16)
     for k in range(PLACES):
         signature[:, k] = mix(np.minimum.reduceat((h ^ _salts[k]) * _odd[k], first)) >> np.uint64(48)
-    return row[first], count, key.view(np.int64), signature
+    part = (g >> np.uint64(55)).astype(np.int64)
+    lead = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
+    sketch = np.zeros((len(first), RANGES), np.uint8)
+    sketch[np.searchsorted(row[first], row[lead]), part[lead]] = g[lead] % np.uint64(255) + np.uint64(1)
+    return row[first], count, key.view(np.int64), signature, sketch
+
+
+def possible(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int, deviations: float = DEVIATIONS) -> np.ndarray:
+    """The similarity that each pair's sketches suggest, or -1 where they and the sets' sizes rule `percent` out.
+
+    A sketch samples the union without replacement, so at the limit itself, where the union's size follows from the sets'
+    sizes, the estimate's spread shrinks with the part of the union that is left out.
+    """
+    used = np.maximum(((x != 0) | (y != 0)).sum(axis=1), 1)
+    estimate = ((x == y) & (x != 0)).sum(axis=1) / used
+    s = percent / 100
+    union = np.maximum((nx + ny) / (1 + s), used + 1)
+    spread = np.sqrt(s * (1 - s) / used * (union - used) / (union - 1)) + 1 / used
+    fits = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (estimate >= s - deviations * spread)
+    return np.where(fits, estimate, -1.0)
 
 
 def keys(signature: np.ndarray) -> np.ndarray:
@@ -103,20 +129,36 @@ def keys(signature: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64) if len(wide) else np.zeros((0, 0), np.int64)
 
 
+def key_places() -> np.ndarray:
+    """For each number of a key the places it holds, as a row of bool."""
+    out, at = [], 0
+    for size, errors in CHUNKS:
+        for kept in combinations(range(at, at + size), size - errors):
+            out.append(np.isin(np.arange(PLACES), kept))
+        at += size
+    return np.array(out)
+
+
+def key_number(key: np.ndarray) -> np.ndarray:
+    """The number of a key, which stands above its two or three places."""
+    return np.where(key >> 48 > 0, key >> 48, key >> 32)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_pieces(batches, most=2 << 20):
-            row, count, key, signature = sets(batch.column(1))
+            row, count, key, signature, sketch = sets(batch.column(1))
             n = np.zeros(batch.num_rows, np.int64)
             n[row] = count
             at = dict(zip(row.tolist(), range(len(row)), strict=True))
             nodes = [key[at[i]] if i in at else None for i in range(batch.num_rows)]
             signs = [signature[at[i]].tobytes() if i in at else None for i in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], schema=schema)
+            fine = [sketch[at[i]].tobytes() if i in at else None for i in range(batch.num_rows)]
+            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary()), pa.array(fine, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, signature binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, signature binary, sketch binary")
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -129,18 +171,24 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
-def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) within the signature distance, with both nodes' documents."""
-    a = nodes.select(F.col("node").alias("a"), F.col("doc").alias("a_doc"), F.col("signature").alias("a_sign"))
-    b = nodes.select(F.col("node").alias("b"), F.col("doc").alias("b_doc"), F.col("signature").alias("b_sign"))
+def _bytes(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that signatures and sketches leave possible, with both nodes' documents."""
+    a = nodes.select(F.col("node").alias("a"), F.col("doc").alias("a_doc"), F.struct("signature", "sketch", "n").alias("x"))
+    b = nodes.select(F.col("node").alias("b"), F.col("doc").alias("b_doc"), F.struct("signature", "sketch", "n").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, PLACES) for i in (4, 5))
-                yield batch.filter(pa.array((x != y).sum(axis=1) <= DISTANCE)).select([0, 1, 2, 3])
+                (p, x, n), (q, y, m) = (batch.column(i).flatten() for i in (4, 5))
+                near = (_bytes(p, np.uint16, PLACES) != _bytes(q, np.uint16, PLACES)).sum(axis=1) <= DISTANCE
+                near &= possible(_bytes(x, np.uint8, RANGES), _bytes(y, np.uint8, RANGES), n.to_numpy(), m.to_numpy(), percent) >= 0
+                yield batch.filter(pa.array(near)).select([0, 1, 2, 3])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_doc", "b_doc", "a_sign", "b_sign").mapInArrow(run, "a long, b long, a_doc long, b_doc long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_doc", "b_doc", "x", "y").mapInArrow(run, "a long, b long, a_doc long, b_doc long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -176,18 +224,23 @@ def set_hash(distinct: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of different components within the signature distance, from `members` (key, n, node, component, signature)."""
+def _across(members: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Possible pairs of different components, from `members` (key, n, node, component, signature, sketch, size); with
+    `best_only` only each node's most similar partner in a block, if it looks like a link. A pair is judged under the
+    first of the keys it shares, so it comes once."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature", "sketch", "size")
+
+    places = key_places().astype(np.float32)
+    needed = places.sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "i", "j"]):
-            cols = [table.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "component")]
-            sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, PLACES)
-            key, i, j, own, node, comp = cols
+            key, i, j, own, node, comp, size = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "component", "size"))
+            sign, sketch = _bytes(table.column("signature"), np.uint16, PLACES), _bytes(table.column("sketch"), np.uint8, RANGES)
+            number = key_number(key)
             edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
             for lo, hi in zip(edge, edge[1:], strict=False):
                 if hi - lo < 2:
@@ -198,12 +251,26 @@ def _across(members: DataFrame) -> DataFrame:
                 if i[lo] != j[lo]:
                     want &= own[p] != own[q]
                 p, q = p[want], q[want]
-                for at in range(0, len(p), 1 << 16):
-                    x, y = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
-                    near = (sign[x] != sign[y]).sum(axis=1) <= DISTANCE
-                    if near.any():
-                        a, b = node[x[near]], node[y[near]]
-                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for at in range(0, len(p), 1 << 15):
+                    x, y = p[at : at + (1 << 15)], q[at : at + (1 << 15)]
+                    same = sign[x] == sign[y]
+                    near = same.sum(axis=1) >= PLACES - DISTANCE
+                    near[near] = (same[near].astype(np.float32) @ places.T >= needed).argmax(axis=1) == number[lo]
+                    x, y = x[near], y[near]
+                    for to in range(0, len(x), 1 << 12):
+                        v, w = x[to : to + (1 << 12)], y[to : to + (1 << 12)]
+                        estimate = possible(sketch[v], sketch[w], size[v], size[w], percent, 1.0 if best_only else DEVIATIONS)
+                        found.append((v[estimate >= 0], w[estimate >= 0], estimate[estimate >= 0]))
+                x, y, estimate = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (p[:0], q[:0], np.zeros(0))
+                if best_only and len(x):
+                    one, two = np.r_[x, y], np.r_[y, x]
+                    order = np.lexsort((node[two], -np.r_[estimate, estimate], one))
+                    first = order[np.r_[True, np.diff(one[order]) != 0]]
+                    x, y = one[first], two[first]
+                if len(x):
+                    a, b = node[x], node[y]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return ordered.mapInArrow(run, "a long, b long").distinct()
@@ -214,25 +281,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(_signed(docs), like="signed")
     known = signed.where("node is not null and doc_id is not null")
-    nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature")), like="nodes")
+    nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")), like="nodes")
     groups = cut(_keyed(nodes).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), like="groups")
     held = cut(_keyed(nodes).join(groups, "key"), like="held")
 
     star = held.select(F.col("low").alias("a"), F.col("node").alias("b")).union(held.select("node", "high")).where("a < b").distinct()
-    tried = cut(_close(star, nodes), like="pairs")
+    tried = cut(_close(star, nodes, percent), like="pairs")
     involved = held.select("node").distinct().join(nodes.select("node", "doc"), "node").select(F.col("doc").alias("doc_id"))
     texts = cut(docs.join(involved.distinct(), "doc_id", "left_semi"), like="texts")
     links = cut(_confirmed(tried, texts, percent), like="links")
     found = components(links)
 
-    labelled = held.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = cut(labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n"), like="mixed")
-    members = labelled.join(mixed, "key").join(nodes.select("node", "signature"), "node")
-    more = _across(members).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    named = more.join(nodes.select(F.col("node").alias("a"), F.col("doc").alias("a_doc")), "a").join(nodes.select(F.col("node").alias("b"), F.col("doc").alias("b_doc")), "b")
-    rest = cut(_confirmed(cut(named.select("a", "b", "a_doc", "b_doc"), like="pairs"), texts, percent), like="links")
-    if not rest.isEmpty():
-        found = components(links.unionByName(rest))
+    tried = tried.select("a", "b")
+    documents = nodes.select("node", "doc")
+    for best_only in (True, False):
+        labelled = held.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        several = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
+        members = labelled.join(cut(several, like="mixed"), "key").join(nodes.select("node", "signature", "sketch", F.col("n").alias("size")), "node")
+        more = _across(members, percent, best_only).join(tried, ["a", "b"], "left_anti")
+        named = more.join(documents.withColumnsRenamed({"node": "a", "doc": "a_doc"}), "a").join(documents.withColumnsRenamed({"node": "b", "doc": "b_doc"}), "b")
+        named = cut(named.select("a", "b", "a_doc", "b_doc"), like="pairs")
+        tried = tried.unionByName(named.select("a", "b"))
+        rest = cut(_confirmed(named, texts, percent), like="links")
+        if not rest.isEmpty():
+            links = links.unionByName(rest)
+            found = components(links)
 
     least = found.join(nodes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
     named = cut(found.join(cut(least, like="least"), "component").select("node", "least"), like="named")
