@@ -94,6 +94,15 @@ def table_keys(bits: np.ndarray, width: int, count: int) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def first_code(bits: np.ndarray) -> np.ndarray:
+    """The first 64 bits as one number, bit 0 lowest."""
+    return (bits[:, :64].astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def chunk_values(code: np.ndarray, k: int, width: int) -> np.ndarray:
+    return code >> np.uint64(width * k)
+
+
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
@@ -111,7 +120,7 @@ def _candidates(nodes: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 piece = batch.slice(at, 2048)
                 bits = encode(_matrix(piece.column(1), d), projection, thresholds)
-                code = np.packbits(bits[:, :64], axis=1).view(np.int64).ravel()
+                code = first_code(bits).view(np.int64)
                 key = table_keys(bits, width, count)
                 m = key.shape[1]
                 yield pa.record_batch([key.ravel(), np.repeat(piece.column(0).to_numpy(), m), np.repeat(code, m)], names=["key", "node", "code"])
@@ -137,10 +146,28 @@ def _candidates(nodes: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
                 q = p + step
                 near = np.bitwise_count(code[p] ^ code[q]) <= far
                 near &= (i[p] == j[p]) | (own[p] != own[q])
-                if near.any():
-                    a, b = node[p[near]], node[q[near]]
+                p, q = p[near], q[near]
+                only = once(key[p], code[p], code[q])
+                if only.any():
+                    a, b = node[p[only]], node[q[only]]
                     yield pa.record_batch([np.minimum(a, b), np.maximum(a, b)], names=["a", "b"])
 
+    per = min(count, 64 // width)
+    mask = np.uint64((1 << width) - 1)
+
+    def once(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the pair is to be emitted under this key: the least key it shares in the first chunk of its first codes
+        that is near enough; under keys of later codes only if there is no such chunk."""
+        want = np.full(len(key), -1, np.int64)
+        for k in range(per):
+            u, v = chunk_values(x, k, width) & mask, chunk_values(y, k, width) & mask
+            apart = np.bitwise_count(u ^ v)
+            one = (u ^ v) & (~(u ^ v) + np.uint64(1))
+            least = np.where(apart == 0, u, np.where(apart == 1, np.minimum(u, v), np.minimum(u ^ one, v ^ one)))
+            fresh = (want < 0) & (apart <= 2)
+            want[fresh] = (least[fresh] | np.uint64(k << width)).astype(np.int64)
+        return (want == key) | ((want < 0) & (key >> width >= per))
+
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return ordered.mapInArrow(meet, "a long, b long").distinct()
 
