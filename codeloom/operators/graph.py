@@ -45,12 +45,37 @@ def check_graph(nodes: DataFrame, edges: DataFrame) -> None:
         raise ValueError("an edge ends at an unknown node")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, *, damping: float = 0.85, iterations: int = 100, epsilon: float | None = 1e-6, every: int = 5) -> DataFrame:
+def _rank_in_one_task(base: DataFrame, links: DataFrame, damping: float, iterations: int, epsilon: float | None) -> DataFrame:
+    """The same iteration as below in one task, for graphs that surely fit."""
+    rows = base.select("node", "jump", F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("share")).unionByName(links.select(F.col("src").alias("node"), F.lit(None).cast("double").alias("jump"), "dst", "share"))
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        own, edge = pdf[pdf["jump"].notna()].sort_values("node"), pdf[pdf["jump"].isna()].sort_values(["node", "dst"])
+        names = pd.Index(own["node"])
+        jump, n = own["jump"].to_numpy(), len(own)
+        src, dst, share = names.get_indexer(edge["node"]), names.get_indexer(edge["dst"]), edge["share"].to_numpy()
+        sink = np.ones(n, bool)
+        sink[src] = False
+        rank = np.full(n, 1 / n)
+        for _ in range(iterations):
+            new = (1 - damping) * jump + damping * (np.bincount(dst, rank[src] * share, n) + rank[sink].sum() * jump)
+            gap, rank = np.abs(new - rank).sum(), new
+            if epsilon is not None and gap < epsilon:
+                break
+        return pd.DataFrame({"node": names, "rank": rank})
+
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "node string, rank double")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, *, damping: float = 0.85, iterations: int = 100, epsilon: float | None = 1e-6, every: int = 5, small: int = 500_000) -> DataFrame:
     """node, rank. Personalised to `seeds` (node, weight) if any of them is a node, else uniform.
 
     Starts uniform; the rank of nodes without out-weight goes back to the personalisation. With `epsilon` the loop ends
     when the sum of changes falls below it, checked every `every` rounds; without, exactly `iterations` rounds run with
-    no action between them.
+    no action between them. Graphs of at most `small` nodes and edges together, which are counted, run in one task.
     """
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
     base = nodes.select("node").distinct().join(F.broadcast(n))  # one row
@@ -64,6 +89,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     base = cut(base.select("node", "n", jump.alias("jump")))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out")).where("out > 0")
     links = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    if base.count() + links.count() <= small:
+        return _rank_in_one_task(base, links, damping, iterations, epsilon)
     sinks = base.join(out, F.col("node") == F.col("src"), "left_anti").select("node")
     rank = base.select("node", (1 / F.col("n")).alias("rank"))
     for i in range(iterations):

@@ -139,8 +139,13 @@ def test_packing(spark):
 
 def test_graph_closed_forms(spark):
     nodes = spark.createDataFrame([("a",), ("b",)], "node string")
-    got = {r.node: r.rank for r in graph.pagerank(nodes, spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double"), epsilon=1e-9).collect()}
-    assert got["a"] == pytest.approx(0.35087719, abs=1e-6) and sum(got.values()) == pytest.approx(1)
+    for small in (0, 100):
+        one = spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double")
+        got = {r.node: r.rank for r in graph.pagerank(nodes, one, epsilon=1e-6, small=small).collect()}
+        assert got["a"] == pytest.approx(0.35087719, abs=1e-5) and sum(got.values()) == pytest.approx(1)
+        seeds = spark.createDataFrame([("b", 2.0), ("unknown", 9.0)], "node string, weight double")
+        got = {r.node: r.rank for r in graph.pagerank(nodes, one, seeds, small=small).collect()}
+        assert got["b"] == pytest.approx(1, abs=1e-4)
     cliques = [(x, y, 5.0) for c in ("abc", "xyz") for x in c for y in c if x != y] + [("c", "x", 1.0)]
     edges = spark.createDataFrame(cliques, "src string, dst string, weight double")
     member = graph.communities(edges)
