@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import graph, index, packing, refs, resolve, vote
+from codeloom.operators import graph, index, lookup, packing, refs, resolve, vote
 from codeloom.sources import facts
 from codeloom.sources.facts import read
 
@@ -436,3 +436,25 @@ def equal_bodies(spark, sf_dir):
     lines = facts.files(read(spark, sf_dir, "documents")).select("path", F.explode(F.split("text", "\n", -1)).alias("body"))
     lines = lines.where(F.size(F.regexp_extract_all("body", F.lit("[a-z]+"), F.lit(0))) >= 12)
     return lines.groupBy(F.sha2("body", 256).alias("key")).agg(F.count(F.lit(1)).alias("places"), F.countDistinct("path").alias("files"), F.min("path").alias("first")).where("places > 1")
+
+
+@query(
+    f"WITH {WORDS}, entries AS (SELECT lang || '/' || lpad(CAST(min(doc_id) AS VARCHAR), 9, '0') || '.txt' AS entry FROM documents GROUP BY lang UNION SELECT lpad(CAST(max(doc_id) AS VARCHAR), 9, '0') FROM documents GROUP BY source UNION SELECT min(name) FROM symbols GROUP BY path UNION SELECT 'no/such.txt'),"
+    " ends AS (SELECT path, path AS entry FROM files UNION ALL SELECT path, regexp_replace(path, '^[^/]*/', '') FROM files UNION ALL SELECT path, regexp_replace(path, '^.*/', '') FROM files),"
+    " found AS (SELECT DISTINCT entry, path, CASE WHEN entry = path THEN 0 ELSE 1 END AS rank FROM entries JOIN ends USING (entry) UNION SELECT e.entry, n.path, 2 FROM entries e JOIN ends n ON e.entry || '.txt' = n.entry UNION SELECT e.entry, s.path, 3 FROM entries e JOIN symbols s ON s.name = e.entry)"
+    " SELECT entry, path, list_element(['path', 'suffix', 'stem', 'qualified'], CAST(rank + 1 AS INTEGER)) AS how FROM (SELECT *, min(rank) OVER (PARTITION BY entry) AS m FROM found) WHERE rank = m"
+)
+def focus_paths(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    name = lambda c: F.lpad(c.cast("string"), 9, "0")
+    s = facts.symbols(docs)
+    entries = docs.groupBy("lang").agg(F.min("doc_id").alias("d")).select(F.concat("lang", F.lit("/"), name(F.col("d")), F.lit(".txt")).alias("entry"))
+    entries = entries.union(docs.groupBy("source").agg(F.max("doc_id").alias("d")).select(name(F.col("d")))).union(s.groupBy("path").agg(F.min("name").alias("n")).select("n")).union(spark.createDataFrame([("no/such.txt",)], "entry string"))
+    return lookup.focus(entries, facts.files(docs), s)
+
+
+@query(f"WITH {WORDS}, t AS (SELECT DISTINCT name AS target FROM symbols) SELECT target, path, name, CAST(line AS BIGINT) AS line, CAST(row_number() OVER (PARTITION BY target ORDER BY path, line) AS BIGINT) AS place FROM t JOIN symbols s ON s.name = t.target")
+def definitions_by_name(spark, sf_dir):
+    s = facts.symbols(read(spark, sf_dir, "documents"))
+    out = lookup.definitions(s.select(F.col("name").alias("target")), s)
+    return out.withColumn("line", F.col("line").cast("long")).withColumn("place", F.col("place").cast("long"))
