@@ -23,6 +23,7 @@ import json
 import os
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import shared_dir, small_pieces
 
-#: Entries of a worker's table of encoded words; it starts anew when full.
-TABLE = 300_000
+#: Entries of a worker's table of encoded words, which has an old half as large.
+TABLE = 250_000
 END = "</w>"
 
 # Texts of these characters alone need no Unicode normalisation, and lower() agrees with the library's.
@@ -63,21 +64,22 @@ class Automaton:
     def __init__(self, flat: np.ndarray) -> None:
         states, edges, self.root = (int(x) for x in flat[:3])
         at = np.cumsum([3, states + 1, edges, edges, edges])
-        self.first, self.label, self.target, self.before = (flat[a:b] for a, b in zip(at, at[1:], strict=False))
+        # memory views of the mapped file: reading one number makes no array
+        self.first, self.label, self.target, self.before = (memoryview(flat[a:b]) for a, b in zip(at, at[1:], strict=False))
         self.rest = flat[at[-1] :]
 
     def place(self, word: str) -> int:
         """The word's place among the sorted words, or -1."""
-        state, at, final = self.root, 0, False
+        state, at, final = self.root, 0, 0
         first, label, target, before = self.first, self.label, self.target, self.before
         for c in map(ord, word):
-            lo, hi = int(first[state]), int(first[state + 1])
-            e = lo + int(np.searchsorted(label[lo:hi], c))
+            hi = first[state + 1]
+            e = bisect_left(label, c, first[state], hi)
             if e == hi or label[e] != c:
                 return -1
-            at += int(before[e]) + final
-            t = int(target[e])
-            state, final = t >> 1, bool(t & 1)
+            at += before[e] + final
+            t = target[e]
+            state, final = t >> 1, t & 1
         return at if final else -1
 
     @staticmethod
@@ -137,20 +139,23 @@ class Vocabulary:
     def merge(self, letters: str) -> list[int]:
         """The ids of one word in byte letters, by the exact merges."""
         part = [*letters[:-1], letters[-1] + END]
-        rank = self.rank
-        while len(part) > 1:
-            best, pair = min([(rank.get(p, 1 << 40), p) for p in zip(part, part[1:], strict=False)])
-            if best == 1 << 40:
-                break
-            joined, out, i = pair[0] + pair[1], [], 0
-            while i < len(part):
-                if i + 1 < len(part) and part[i] == pair[0] and part[i + 1] == pair[1]:
-                    out.append(joined)
-                    i += 2
-                else:
-                    out.append(part[i])
-                    i += 1
-            part = out
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(p, none) for p in zip(part, part[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            a, b = part[i], part[i + 1]
+            joined = a + b
+            while True:  # every place of the pair, from the left
+                part[i : i + 2] = [joined]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((part[i - 1], joined), none)
+                if i < len(ranks):
+                    ranks[i] = get((joined, part[i + 1]), none)
+                try:
+                    i = ranks.index(best, i + 1 if i < len(ranks) and ranks[i] == best else i)
+                except ValueError:
+                    break
         return [self.ids[p] for p in part]
 
     def lexicon(self, more: Iterable[str] = ()) -> np.ndarray:
@@ -163,44 +168,52 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """word -> (number of ids, ids as text, tokens as text, ids); fills itself from the lexicon, else by merging."""
+    """word -> (number of ids, ids as text, tokens as text); fills itself from the lexicon, else by merging.
+
+    When full, the table becomes the old one, and what is still asked for is taken over from it: frequent words stay.
+    """
 
     def __init__(self, path: str, lexicon: np.ndarray) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
         self.path, self.vocabulary = path, Vocabulary(path)
+        self.old: dict[str, tuple[int, str, str]] = {}
         self.words = Automaton(lexicon)
         n = int(lexicon[-1])
         self.offset, self.out = self.words.rest[: n + 1], self.words.rest[n + 1 : -1]
         library = Tokenizer.from_file(path)
         self.normalise, self.divide = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
 
-    def word(self, letters: str) -> tuple[int, str, str, list[int]]:
+    def word(self, letters: str) -> tuple[int, str, str]:
         at = self.words.place(letters)
         ids = self.out[self.offset[at] : self.offset[at + 1]].tolist() if at >= 0 else self.vocabulary.merge(letters)
-        return len(ids), " ".join(map(str, ids)), " ".join([self.vocabulary.tokens[i] for i in ids]), ids
+        tokens = self.vocabulary.tokens
+        return len(ids), " ".join([str(i) for i in ids]), " ".join([tokens[i] for i in ids])
 
-    def __missing__(self, word: str) -> tuple[int, str, str, list[int]]:
-        found = self.word("".join([_LETTERS[b] for b in word.encode()]))
+    def __missing__(self, word: str) -> tuple[int, str, str]:
+        found = self.old.get(word)
+        if found is None:
+            found = self.word(word if word.isascii() and word.isprintable() else "".join([_LETTERS[b] for b in word.encode()]))
         if len(word) < 64:
             if len(self) >= TABLE:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
 
-    def encode(self, text: str) -> list[tuple[int, str, str, list[int]]]:
+    def encode(self, text: str) -> list[tuple[int, str, str]]:
         if "<|" in text and len(parts := self.vocabulary.split_special.split(text)) > 1:
             out = []
             for p in parts:
                 if p in self.vocabulary.special:
                     i = self.vocabulary.special[p]
-                    out.append((1, str(i), p, [i]))
+                    out.append((1, str(i), p))
                 elif p:
                     out += self.encode(p)
             return out
         if _PLAIN.fullmatch(text):
-            return [self[w] for w in _PLAIN_WORDS.findall(text.lower())]
+            return list(map(self.__getitem__, _PLAIN_WORDS.findall(text.lower())))
         return [self.word(letters) for letters, _ in self.divide(self.normalise(text))]
 
 
@@ -244,12 +257,13 @@ def encode(docs: DataFrame, path: str, *, frequent: Iterable[str] = (), ids: boo
             n, first, second, lists, decoded = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = table.encode(text) if text else []
-                n.append(sum([x[0] for x in found]))
-                first.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                joined = " ".join([x[2] for x in found])
+                counts, each, tokens = zip(*found, strict=True) if found else ((), (), ())
+                numbers, joined = " ".join(each), " ".join(tokens)
+                n.append(sum(counts))
+                first.append(hashlib.sha256(numbers.encode()).hexdigest())
                 second.append(hashlib.sha256(joined.encode()).hexdigest())
                 if ids:
-                    lists.append([i for x in found for i in x[3]])
+                    lists.append([int(i) for i in numbers.split()])
                     decoded.append(joined)
             yield pa.record_batch([batch.column(0), n, first, second, *([lists, decoded] if ids else [])], schema=schema)
 
