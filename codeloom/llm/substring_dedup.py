@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codeloom.llm.common import text_buffer, text_size
 from codeloom.llm.wordhash import row_bounds, run_hashes, word_hashes, words
@@ -130,13 +131,15 @@ def _windows(docs: pa.Table, answers: pa.Table, window: int):
     return (data, starts, ends, rows, bounds), starts_at, ids[rows[starts_at]], least, kind, blobs
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, *, unit_bytes: int = UNIT_BYTES, texts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, *, unit_bytes: int = UNIT_BYTES, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, spans; with `texts` also kept_text.
 
     `spans` are the removed runs as pairs of word places [from, to). kept_sha256 is of the kept words joined by one space;
-    kept_text is the text without the removed runs, its other white space unchanged.
+    kept_text is the text without the removed runs, its other white space unchanged. Columns in `carry` come along, row by
+    row, so that no join is needed to put them back.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kinds = [docs.schema[c].dataType for c in carry]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     size, count = text_size(docs)
     unit_bytes = max(unit_bytes, min(64 << 20, size // 4000))
     n_units = max(1, -(-size // unit_bytes), count // 50_000)
@@ -184,6 +187,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, *, unit_bytes: int = UNIT
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>"
     if texts:
         fields, ddl = [*fields, ("kept_text", pa.string())], f"{ddl}, kept_text string"
+    for i, kind in enumerate(kinds):
+        fields, ddl = [*fields, (f"_carry{i}", to_arrow_type(kind))], f"{ddl}, _carry{i} {kind.simpleString()}"
     out_schema = pa.schema(fields)
 
     def finish(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
@@ -225,13 +230,16 @@ def substring_dedup(docs: DataFrame, window: int = 50, *, unit_bytes: int = UNIT
                     text = b"".join([*keep, raw[last:]]).decode()
                 rows_out["kept_text"].append(text)
         rows_out["doc_id"] = left.column("doc_id").combine_chunks()
+        for i, kind in enumerate(kinds):
+            rows_out[f"_carry{i}"] = left.column(f"_carry{i}").combine_chunks().cast(to_arrow_type(kind))
         return pa.table(rows_out, out_schema)
 
     found = units.groupBy("_unit").applyInArrow(anchors, _REPORT_DDL)
     answers = found.groupBy("_part").applyInArrow(shared, _ANSWER_DDL)
     held = units.groupBy("_unit").cogroup(answers.groupBy("_unit")).applyInArrow(reports, _REPORT_DDL)
     second = held.groupBy("_part").applyInArrow(earlier, _ANSWER_DDL)
-    return units.groupBy("_unit").cogroup(answers.unionByName(second).groupBy("_unit")).applyInArrow(finish, ddl)
+    out = units.groupBy("_unit").cogroup(answers.unionByName(second).groupBy("_unit")).applyInArrow(finish, ddl)
+    return out.withColumnsRenamed({f"_carry{i}": c for i, c in enumerate(carry)})
 
 
 def _leading(raw: bytes) -> int:

@@ -48,7 +48,8 @@ def test_equals_brute_force(spark):
     for seed, unit in ((1, 1 << 22), (2, 4000)):
         rows = corpus(seed)
         docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, n_words string, _unit int")
-        got = substring_dedup(docs, 50, unit_bytes=unit, texts=True).collect()
+        got = substring_dedup(docs, 50, unit_bytes=unit, texts=True, carry=("_unit",)).collect()
+        assert {r["_unit"] for r in got} == {1}
         assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows, 50)
         for r in got:
             assert hashlib.sha256(" ".join(re.findall(r"[^\x20\x09-\x0D]+", r.kept_text or "")).encode()).hexdigest() == r.kept_sha256
