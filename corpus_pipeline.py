@@ -1,8 +1,8 @@
 """The corpus pipeline: each stage works on all that the one before it kept, through one operator of the llm package.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between
-stages the rows are written as Parquet and read again. Rows with null doc_id pass the classifier and near-dedup like any
-other text where the operator defines that; see the operators' own notes.
+stages the rows are written as Parquet and read again. Defined results: rows without doc_id leave in the first stage, rows
+that repeat stay repeated until mixing, which gives each its rate; null texts count as empty; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -36,14 +36,14 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds; documents that held nothing else go."""
-    found = substring_dedup(docs, texts=True).where("n_removed = 0 or n_removed < n_words").select("doc_id", "kept_text")
-    rest = docs.drop("text", "n_chars").join(found, "doc_id").withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
-    return rest.select(*docs.columns)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = substring_dedup(docs, texts=True, carry=others).where("n_removed = 0 or n_removed < n_words")
+    return found.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
 
 
 def reweigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say: domains that are short of their target repeat, others thin out."""
-    rates = mix(docs, label_domains(table(spark, sf_dir, "labels"))).select("doc_id", copies(F.col("rate"), F.col("doc_id")).alias("_copies"))
+    rates = mix(docs, label_domains(table(spark, sf_dir, "labels"))).select("doc_id", copies(F.col("rate"), F.col("doc_id")).alias("_copies")).groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
     taken = docs.join(rates.where("_copies > 0"), "doc_id")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
