@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from codeloom.plans.lineage import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's setting, and a temporary one only where it is unset (tests)."""
-    found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        made = tempfile.mkdtemp(prefix="codeloom-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(made)
-        found = spark.sparkContext.getCheckpointDir() or made
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame, *, like: str = "cut") -> DataFrame:
     """Writes `df` once to the shared folder and reads it back: the lineage ends there and survives lost executors.
 
