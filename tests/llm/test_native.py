@@ -46,6 +46,19 @@ def test_scan_equals_the_model_on_each_paragraph(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_notices_amid_a_thousand_words_are_found(spark):
+    rng = random.Random(4)
+    filler = ["".join(rng.choice("aeiounrstlhd") for _ in range(rng.randint(2, 9))) for _ in range(1000)]
+    want = {i: f for i, f in enumerate(f for f in TEMPLATES for _ in range(3))}
+    rows = []
+    for i, f in want.items():
+        at = rng.choice([0, 1, 137, 500, 990, 1000])
+        rows.append((i, " ".join([*filler[:at], rng.choice(TEMPLATES[f]), *filler[at:]])))
+    rows.append((99, " ".join([TEMPLATES["MIT"][0], *filler[:300], TEMPLATES["Apache-2.0"][0]])))
+    got = [(r.doc_id, r.family) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()]
+    assert sorted(got) == sorted([*want.items(), (99, "MIT"), (99, "Apache-2.0")])
+
+
 def test_rates_meet_the_targets_and_stay_nonnegative(spark):
     rng = random.Random(2)
     rows = []
