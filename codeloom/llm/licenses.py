@@ -10,7 +10,9 @@ to WINDOW - STRIDE words lies whole in one; it gives a row for each family found
 prediction is confirmed by comparison with its family's wordings: the share of a wording's distinct words that the window
 holds.
 
-Only windows that hold one of the `STEMS` (a gated word) are scored.
+Only windows with a gated word are scored. The gate follows from the weights (`gate`): with every other gram of the
+vocabulary that lifts a family over `unknown` present at once, no family reaches the limit, so no window without a gated
+word can. `STEMS` are gated besides, so that mentions of licences that are no notice show as `unknown`.
 
 Plan. One narrow pass: texts without a gated word cost a search and go at once; scores are array functions over constant
 arrays (a bounded number of weights). Nothing is shuffled.
@@ -183,8 +185,35 @@ class Model:
         known = [x for x in found if x[0] != UNKNOWN]
         return max(known, key=lambda x: (x[1], -self.families.index(x[0]))) if known else (UNKNOWN, min((x[1] for x in found), default=1.0))
 
+    def reach(self, terms: set[str]) -> float:
+        """The most by which a window without any of `terms` could lift a family over `unknown`, less what the limit takes."""
+        free = sorted({_bucket(g) for g in vocabulary() if not any(w in terms for w in g.split())})
+        lift = self.weights[free, 1:] - self.weights[free, :1]
+        need = self.temperature * math.log(self.limit / (1 - self.limit)) if self.limit < 1 else math.inf
+        return float((np.maximum(lift, 0).sum(axis=0) + self.bias[1:] - self.bias[0]).max() - need)
+
+    def gate(self) -> list[str]:
+        """Words without any of which no window reaches the limit: P(family) >= limit takes z(family) - z(unknown) >=
+        temperature * log(limit / (1 - limit)), and the grams without these words, all at once, do not lift any that far."""
+        lift: dict[str, float] = {}
+        for g in sorted(vocabulary()):
+            up = float((self.weights[_bucket(g), 1:] - self.weights[_bucket(g), 0]).max())
+            for w in g.split():
+                if w not in _PLAIN:
+                    lift[w] = max(lift.get(w, 0.0), up * (1.0 if g == w else 0.5))
+        order = sorted(lift, key=lambda w: (-lift[w], w))
+        low, high = 0, len(order)
+        if self.reach(set(order)) >= 0:
+            raise ValueError("a window without any word of the vocabulary reaches the limit")
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if self.reach(set(order[:mid])) < 0 else (mid + 1, high)
+        return sorted(order[:low])
+
     def pattern(self) -> str:
-        return "|".join(STEMS)
+        if not hasattr(self, "_pattern"):
+            self._pattern = "(?<![a-z0-9])(?:" + "|".join(self.gate()) + ")(?![a-z0-9])|" + "|".join(STEMS)
+        return self._pattern
 
 
 @lru_cache(1)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from codeloom.llm.licenses import STEMS, TEMPLATES, scan, train
+from codeloom.llm.licenses import STEMS, TEMPLATES, scan, train, vocabulary
 from codeloom.llm.mixing import copies, fit_rates, label_domains, mix
 from pyspark.sql import functions as F
 
@@ -59,6 +59,28 @@ def test_notices_amid_a_thousand_words_are_found(spark):
     assert sorted(got) == sorted([*want.items(), (99, "MIT"), (99, "Apache-2.0")])
 
 
+def test_wordings_without_a_stem_or_template_are_found(spark):
+    said = {
+        "Distributed under the terms of the GNU GPL v3.": "GPL-3.0", "Dedicated to the public domain under CC0 1.0.": "CC0", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "This crate is offered to you under GNU LGPL v3 terms": "LGPL", "Content is shared under CC BY-SA 3.0": "CC-BY-SA", "usable under the BSD-3-Clause, see COPYING": "BSD",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "MIT",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.': "BSD",
+    }
+    none = ["She went to MIT to study", "the apache tribe lived there", "We license our patents to partners in Europe", "the river runs to the sea"]
+    texts = [*said, *none]
+    got = {texts[r.doc_id]: r.family for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("family <> 'unknown'").collect()}
+    assert got == said
+
+
+def test_no_window_outside_the_gate_can_reach_the_limit():
+    model = train()
+    gate = model.gate()
+    assert model.reach(set(gate)) < 0
+    free = [w for w in sorted({w for g in vocabulary() for w in g.split()}) if w not in gate]
+    rng = random.Random(6)
+    assert all(model.window(rng.choices(free, k=rng.randint(0, 60)))[0] == "unknown" for _ in range(300))
+
+
 def test_rates_meet_the_targets_and_stay_nonnegative(spark):
     rng = random.Random(2)
     rows = []
