@@ -4,10 +4,12 @@ Method. On a bounded sample (about `SAMPLE` vectors of least hash) the vectors'
 quantisation (alternating signs and an orthogonal Procrustes step) so that signs lose little; thresholds are the sample's
 medians, which balances every bit. Each vector gets 64-bit codes. Codes are split in chunks about log2(vectors) bits wide,
 so that a table's bucket holds about one unrelated vector at any input size; a vector is entered under its chunk and under
-every chunk one bit away, and two vectors meet when their chunks differ in at most two bits. The number of chunks follows
-from the width so that a pair exactly at the limit is met with probability `RECALL`; closer pairs are met nearly always.
-Pairs met are kept if their first codes lie within `distance(cosine)` bits, then the cosine of the original vectors in
-double precision decides: no pair below the limit is linked.
+every chunk one bit away, and two vectors meet when their chunks differ in at most two bits. Codes are of centred vectors,
+where a pair at the limit lies further apart the more the vectors have in common; so the number of chunks is measured on
+pairs at the limit (`limit_pairs`), made from the sample with noise of any direction and with noise like the vectors' own
+differences, and those the sample holds. It is the least that meets a share of `RECALL` of each kind; closer pairs are met
+nearly always. Pairs met are kept if their first codes lie within the distance in which nearly all of these pairs lie, then
+the cosine of the original vectors in double precision decides: no pair below the limit is linked.
 
 Plan. Equal vectors are one node with a count. Table entries are 24 bytes. Buckets larger than `BLOCK` are dealt to pairs
 of blocks, so none meets in one task, and pairs within a bucket are compared on codes in numpy and emitted only if near.
@@ -35,6 +37,9 @@ from codeloom.llm.components import components
 SAMPLE = 4096
 RECALL = 0.97
 BLOCK = 256
+PAIRS = 2000
+#: Chunks beyond which narrower ones are tried.
+CHUNKS = 128
 
 
 def flip(cosine: float) -> float:
@@ -48,7 +53,7 @@ def distance(cosine: float, bits: int = 64) -> int:
 
 
 def chunks(n: int, cosine: float) -> tuple[int, int]:
-    """(bits of a chunk, number of chunks) for n vectors."""
+    """(bits of a chunk, least number of chunks) for n vectors without a common direction."""
     width = min(24, max(8, round(math.log2(max(n, 2)))))
     p = flip(cosine)
     met = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(3))
@@ -99,6 +104,61 @@ def first_code(bits: np.ndarray) -> np.ndarray:
     return (bits[:, :64].astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def limit_pairs(sample: np.ndarray, cosine: float, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Kinds of pairs at the limit: noise of any direction, noise like differences of vectors, and pairs of the sample."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    rng = np.random.default_rng(seed)
+    x = unit[rng.integers(len(unit), size=PAIRS)]
+    kinds = []
+    for o in (rng.normal(size=x.shape), unit[rng.integers(len(unit), size=PAIRS)] - unit[rng.integers(len(unit), size=PAIRS)]):
+        o -= (o * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(o, axis=1)
+        ok = size > 1e-6
+        if ok.any():
+            kinds.append((x[ok], cosine * x[ok] + math.sqrt(1 - cosine**2) * o[ok] / size[ok, None]))
+    found: list[np.ndarray] = []
+    for at in range(0, len(unit), 512):
+        cos = unit[at : at + 512] @ unit.T
+        a, b = np.nonzero((cos >= cosine) & (cos < cosine + (1 - cosine) / 5))
+        found.append(np.stack([a + at, b], axis=1))
+    held = np.concatenate(found)
+    held = held[held[:, 0] < held[:, 1]]
+    if len(held) >= 100:
+        held = held[rng.permutation(len(held))[:PAIRS]]
+        kinds.append((unit[held[:, 0]], unit[held[:, 1]]))
+    return kinds
+
+
+def plan(sample: np.ndarray, n: int, cosine: float) -> tuple[int, int, np.ndarray, np.ndarray, int]:
+    """(bits of a chunk, number of chunks, projection, thresholds, greatest distance of first codes) for n vectors like the sample."""
+    width, least = chunks(n, cosine)
+    kinds = limit_pairs(sample, cosine)
+    far = distance(cosine)
+    while True:
+        per, most = 64 // width, max(CHUNKS, least)
+        codes = -(-least // per)
+        while True:
+            projection, thresholds = quantiser(sample, codes)
+            have = min(codes * per, most)
+            apart = [encode(x, projection, thresholds) != encode(y, projection, thresholds) for x, y in kinds]
+            count = least
+            for bits in apart:
+                met = np.stack([bits[:, 64 * (k // per) + width * (k % per) :][:, :width].sum(axis=1) <= 2 for k in range(have)], axis=1)
+                share = np.logical_or.accumulate(met, axis=1).mean(axis=0)
+                count = max(count, int(np.argmax(share >= RECALL)) + 1 if share[-1] >= RECALL else have + 1)
+            if count <= have or have == most:
+                break
+            codes = min(2 * codes, -(-most // per))
+        if count <= have or width <= 2:
+            count = min(count, have)
+            break
+        width -= 1
+    for bits in apart:
+        far = max(far, int(np.ceil(np.quantile(bits[:, :64].sum(axis=1), 0.999))))
+    codes = -(-count // per)
+    return width, count, projection[:, : 64 * codes], thresholds[: 64 * codes], far
+
+
 def chunk_values(code: np.ndarray, k: int, width: int) -> np.ndarray:
     return code >> np.uint64(width * k)
 
@@ -109,11 +169,8 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 def _candidates(nodes: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
     """Distinct pairs (a, b) of nodes of length d that meet in a bucket and whose first codes are near."""
-    width, count = chunks(n, cosine)
-    codes = -(-count // (64 // width))
     sample = sorted(hashed_sample(nodes, "node", SAMPLE, n).select("node", "v").collect())
-    projection, thresholds = quantiser(np.array([r.v for r in sample]), codes)
-    far = distance(cosine)
+    width, count, projection, thresholds, far = plan(np.array([r.v for r in sample]), n, cosine)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -57,6 +57,21 @@ def test_recall_at_the_limit_itself():
     assert 0.45 < encode(x, projection, t).mean() < 0.55
 
 
+def test_recall_with_a_strong_common_direction(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1000, 64))
+    x[:, 0] += 13.0  # any two at a cosine near 0.73
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    o = rng.normal(size=x.shape)
+    o -= (o * x).sum(axis=1, keepdims=True) * x
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    v = np.concatenate([x, y])
+    near = (v @ v.T >= 0.9).sum() - len(v)
+    rows = [(i, z.tolist(), 1) for i, z in enumerate(v)]
+    got = sum(r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n int")).collect())
+    assert 2000 <= near and 0.96 * near <= got <= near
+
+
 def test_empty_and_tiny(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     got = near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0)], SCHEMA)).collect()
