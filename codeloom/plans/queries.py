@@ -125,6 +125,12 @@ def pagerank_trade(spark, sf_dir):
     return graph.pagerank(nodes, graph.cut(facts.trade_edges(spark, sf_dir)), iterations=20, epsilon=None).withColumn("rank", F.round("rank", 6))
 
 
+@query()
+def pagerank_trade_converged(spark, sf_dir):
+    nodes = read(spark, sf_dir, "nation").select(F.col("n_name").alias("node"))
+    return graph.pagerank(nodes, graph.cut(facts.trade_edges(spark, sf_dir))).withColumn("rank", F.round("rank", 6))
+
+
 @query(
     f"WITH {WORDS}, {IMPORTS}, {INDEX}, {EDGES}, g AS MATERIALIZED (SELECT * FROM file_edges), nodes AS (SELECT path AS node FROM files), {_rank_sql(6)},"
     " best AS (SELECT node AS path, rank FROM r6 ORDER BY round(rank, 9) DESC, node LIMIT 10),"
@@ -134,10 +140,20 @@ def pagerank_trade(spark, sf_dir):
     " SELECT path, name, CAST(line AS BIGINT) AS line, CAST(inbound AS BIGINT) AS inbound, score, CAST(used AS BIGINT) AS used FROM packed WHERE used <= 2000"
 )
 def ranked_map(spark, sf_dir):
+    """ranked_map_converged after the six rounds that its SQL unrolls."""
+    return _ranked_map(spark, sf_dir, iterations=6, epsilon=None, every=3)
+
+
+@query()
+def ranked_map_converged(spark, sf_dir):
+    return _ranked_map(spark, sf_dir)
+
+
+def _ranked_map(spark: SparkSession, sf_dir: str, **rank) -> DataFrame:
     """Files ranked by references, the symbols of the ten best by score, packed into a budget."""
     s, r, i = _facts(spark, sf_dir)
     nodes = facts.files(read(spark, sf_dir, "documents")).select(F.col("path").alias("node"))
-    ranks = graph.pagerank(nodes, graph.cut(graph.file_edges(s, r, i)), iterations=6, epsilon=None, every=3)
+    ranks = graph.pagerank(nodes, graph.cut(graph.file_edges(s, r, i)), **rank)
     best = ranks.withColumn("k", F.round("rank", 9)).orderBy(F.desc("k"), "node").limit(10).select(F.col("node").alias("path"), "rank")
     few = graph.cut(s.join(F.broadcast(best), "path"))  # ten files' ranks
     names = few.select("name").distinct()
@@ -299,9 +315,19 @@ def community_labels(spark, sf_dir):
 
 @query(f"WITH {TRADE}, g AS (SELECT * FROM trade), nodes AS (SELECT n_name AS node FROM nation), {_rank_sql(10)}, best AS (SELECT node FROM r10 ORDER BY round(rank, 9) DESC, node LIMIT 8) SELECT src, dst, kind, weight, CAST(row_number() OVER (ORDER BY kind, weight DESC, src, dst) AS BIGINT) AS ord FROM (SELECT src, dst, CASE WHEN weight >= 1 THEN 'import' ELSE 'reference' END AS kind, weight FROM trade WHERE src IN (SELECT node FROM best) AND dst IN (SELECT node FROM best)) ORDER BY ord LIMIT 40")
 def drawn_edges(spark, sf_dir):
+    """drawn_edges_converged after the ten rounds that its SQL unrolls."""
+    return _drawn_edges(spark, sf_dir, iterations=10, epsilon=None)
+
+
+@query()
+def drawn_edges_converged(spark, sf_dir):
+    return _drawn_edges(spark, sf_dir)
+
+
+def _drawn_edges(spark: SparkSession, sf_dir: str, **rank) -> DataFrame:
     edges = graph.cut(facts.trade_edges(spark, sf_dir))
     nodes = read(spark, sf_dir, "nation").select(F.col("n_name").alias("node"))
-    ranks = graph.pagerank(nodes, edges, iterations=10, epsilon=None).withColumn("rank", F.round("rank", 9))
+    ranks = graph.pagerank(nodes, edges, **rank).withColumn("rank", F.round("rank", 9))
     return graph.drawn(edges.withColumn("kind", F.when(F.col("weight") >= 1, "import").otherwise("reference")), ranks, 8, 40).withColumn("ord", F.col("ord").cast("long"))
 
 
