@@ -9,6 +9,8 @@ the expected tokens of each domain, sum of r_d * tokens_d * p_dk, match the targ
 
 with t tokens and T their sum. The metric W is the inverse of sum t_d / T p_d p_d' over the documents whose rate is above
 0, which makes every direction of e equally steep; a step that does not come nearer is halved. The ridge keeps rates near 1.
+Unless a caller names targets, those of domains other than `KEPT` are never above the shares these domains have, the rest is
+KEPT's, and documents whose likeliest domain is KEPT have a rate of at least 1: mixing never drops them.
 
 Plan. One narrow pass over the texts writes a few numbers a document to the shared folder. A gradient needs the K domain
 residuals only, and a document's rate is a function of its posteriors and of the residuals so far, so each step is one
@@ -35,6 +37,7 @@ from codeloom.llm.common import cut, hashed_sample
 SAMPLE = 4000
 VOCABULARY = 96
 TARGETS = {"clean": 0.95, "low": 0.02, "toxic": 0.03}
+KEPT = "clean"
 STEPS, RIDGE, CLOSE = 25, 1e-3, 1e-4
 _MARKS = "!|#$%&*"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -125,29 +128,36 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.select("doc_id", "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
-def _rate(history: list[list[float]], ridge: float) -> Column:
-    """The rate after the projected steps in `history` (each the negative change per unit of posterior), from rate 1."""
+def _rate(history: list[list[float]], ridge: float, floor: Column) -> Column:
+    """The rate after the projected steps in `history` (each the negative change per unit of posterior), from rate 1, never below `floor`."""
     if not history:
         return F.lit(1.0)
     steps = F.from_json(F.lit(json.dumps(history)), "array<array<double>>")
 
     def move(r: Column, u: Column) -> Column:
         slope = F.aggregate(F.zip_with("p", u, lambda x, y: x * y), F.lit(0.0), lambda a, y: a + y)
-        return F.greatest(F.lit(0.0), r - slope - F.lit(ridge / (1 + ridge)) * (r - 1))
+        return F.greatest(floor, r - slope - F.lit(ridge / (1 + ridge)) * (r - 1))
 
     return F.aggregate(steps, F.lit(1.0), move)
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], *, steps: int = STEPS, ridge: float = RIDGE, close: float = CLOSE) -> DataFrame:
-    """`members` with `rate`. Targets are shares of the tokens there are."""
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], *, steps: int = STEPS, ridge: float = RIDGE, close: float = CLOSE, kept: str | None = None) -> DataFrame:
+    """`members` with `rate`. Targets are shares of the tokens there are.
+
+    With `kept`, targets of other domains are at most their shares, that one's is the rest, and its likeliest documents
+    have a rate of at least 1.
+    """
     k = len(domains)
+    floor: Column = F.lit(0.0)
+    if kept in domains:
+        floor = F.when(F.array_position("p", F.array_max("p")) == domains.index(kept) + 1, 1.0).otherwise(0.0)
     each = [F.get("p", F.lit(i)) for i in range(k)]
     sums = [F.sum(F.col("r") * F.col("tokens") * x) for x in each]
     sums += [F.sum(F.when(F.col("r") > 0, F.col("tokens")) * x * y) for x in each for y in each]
 
     def state(history: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """The domains' tokens at these rates, and the products of posteriors over the documents that count."""
-        row = members.select("tokens", "p", _rate(history, ridge).alias("r")).agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()
+        row = members.select("tokens", "p", _rate(history, ridge, floor).alias("r")).agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()
         got = np.array([float(x or 0.0) for x in row])
         return got[:k], got[k:].reshape(k, k)
 
@@ -156,6 +166,9 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     if total <= 0:
         return members.withColumn("rate", F.lit(1.0))
     want = np.array([targets.get(d, 0.0) if x / total > 1e-9 else 0.0 for d, x in zip(domains, now, strict=True)])
+    if kept in domains and now[domains.index(kept)] / total > 1e-9:
+        want = np.minimum(want, now / total)
+        want[domains.index(kept)] += 1 - want.sum()
     if not want.sum():
         return members.withColumn("rate", F.lit(1.0))
     want /= want.sum()
@@ -171,7 +184,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
             off, gram, scale = gap, next_gram, min(1.0, 2 * scale)
         else:
             scale /= 2
-    return members.withColumn("rate", _rate(history, ridge))
+    return members.withColumn("rate", _rate(history, ridge, floor))
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -181,7 +194,7 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None =
     if model is None:
         return _measured(docs).select("doc_id", "tokens", F.lit(None).cast("map<string,double>").alias("posteriors"), F.lit(1.0).alias("rate"))
     members = cut(memberships(docs, model), like="members")
-    rated = fit_rates(members, model.domains, targets or TARGETS)
+    rated = fit_rates(members, model.domains, targets or TARGETS, kept=None if targets else KEPT)
     return rated.select("doc_id", "tokens", F.map_from_arrays(F.array(*map(F.lit, model.domains)), "p").alias("posteriors"), "rate")
 
 

@@ -79,3 +79,23 @@ def test_stages_take_empty_tables(spark, folder):
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for name, stage in cp.STAGES:
         assert stage(spark, empty, folder).count() == 0, name
+
+
+def test_mixing_keeps_every_clean_document_of_a_cleaner_corpus(spark, tmp_path):
+    rng = random.Random(12)
+    kinds = ["clean"] * 980 + ["low"] * 10 + ["toxic"] * 10
+    rows, labels = [], []
+    for i, kind in enumerate(kinds):
+        words = [rng.choice(["river", "stone", "the", "of", "tree", "road"]) for _ in range(rng.randint(20, 60))]
+        if kind == "toxic":
+            words[3:6] = ["scum", "idiot", "scum"]
+        text = "!! ".join(words).upper() if kind == "low" else " ".join(words).capitalize()
+        rows.append((i, text, "en", "s", len(text)))
+        labels.append((i, int(kind != "low"), int(kind == "toxic")))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    count = dict.fromkeys(range(1000), 0)
+    for r in cp.reweigh(spark, docs, str(tmp_path)).collect():
+        count[r.doc_id] += 1
+    assert all(count[i] >= 1 for i in range(980))
+    assert sum(count[i] for i in range(980, 1000)) <= 24
