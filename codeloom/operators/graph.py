@@ -152,15 +152,72 @@ def neighbourhood(edges: DataFrame, seed: str, distance: int = 2) -> DataFrame:
     return hops(edges, seed, bound=1 << 62, most=distance).select("node", "hops")
 
 
-def cycle_groups(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def _cycles_in_one_task(left: DataFrame) -> DataFrame:
+    """The components by Tarjan's algorithm in one task, for graphs that surely fit."""
+
+    def run(pdf):
+        import pandas as pd
+
+        near: dict[str, list[str]] = {}
+        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+            near.setdefault(a, []).append(b)
+        order: dict[str, int] = {}
+        low: dict[str, int] = {}
+        stack: list[str] = []
+        on: set[str] = set()
+        rows: list[tuple[str, str]] = []
+        for root in near:
+            if root in order:
+                continue
+            order[root] = low[root] = len(order)
+            stack.append(root)
+            on.add(root)
+            calls = [(root, iter(near[root]))]
+            while calls:
+                a, rest = calls[-1]
+                for b in rest:
+                    if b not in order:
+                        order[b] = low[b] = len(order)
+                        stack.append(b)
+                        on.add(b)
+                        calls.append((b, iter(near.get(b, ()))))
+                        break
+                    if b in on:
+                        low[a] = min(low[a], order[b])
+                else:
+                    calls.pop()
+                    if calls:
+                        low[calls[-1][0]] = min(low[calls[-1][0]], low[a])
+                    if low[a] == order[a]:
+                        at = len(stack) - 1
+                        while stack[at] != a:
+                            at -= 1
+                        group = stack[at:]
+                        del stack[at:]
+                        on.difference_update(group)
+                        if len(group) > 1:
+                            rows += [(n, min(group)) for n in group]
+        return pd.DataFrame(rows, columns=["node", "component"])
+
+    return left.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "node string, component string")
+
+
+def cycle_groups(edges: DataFrame, small: int = 500_000) -> DataFrame:
     """node, component: strongly connected components of at least two nodes, named by their least node.
 
-    Trims nodes without in- or out-edges, then spreads the least label forward and finds who reaches that label's node
-    backward within it; what is found is one component each, the rest goes on.
+    Graphs of at most `small` edges, which are counted, run in one task. Else trims nodes without in- or out-edges, then
+    spreads the least label forward and finds who reaches that label's node backward within it; what is found is one
+    component for each label left, and edges between labels lie in no cycle, so the rest goes on without them. Labels are
+    hashes that change with the round, so that a chain of components falls apart in a few rounds. Every round finds at least
+    one component, and rounds go on until no edge is left.
     """
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    if left.count() <= small:
+        return cut(_cycles_in_one_task(left))
     done = left.sparkSession.createDataFrame([], "node string, component string")
-    for _ in range(rounds):
+    turn = 0
+    while True:
+        turn += 1
         while True:
             kept = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             if kept.count() == left.count():
@@ -168,25 +225,26 @@ def cycle_groups(edges: DataFrame, rounds: int = 64) -> DataFrame:
             left = kept
         if left.isEmpty():
             break
-        colour = cut(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
+        label = F.concat(F.hex(F.xxhash64("node", F.lit(turn))), F.lit("|"), F.col("node"))
+        colour = cut(left.select(F.col("src").alias("node")).distinct().withColumn("own", label).withColumn("colour", F.col("own")))
         while True:
             near = left.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("c"))
-            new = cut(colour.join(near, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", "c").alias("now"), "colour"))
-            colour = new.select("node", F.col("now").alias("colour"))
+            new = cut(colour.join(near, F.col("node") == F.col("dst"), "left").select("node", "own", F.least("colour", "c").alias("now"), "colour"))
+            colour = new.select("node", "own", F.col("now").alias("colour"))
             if new.where("now <> colour").isEmpty():
                 break
         inside = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst", F.col("a").alias("colour"))
         inside = cut(inside)
-        member = cut(colour.where("node = colour"))
+        member = cut(colour.where("own = colour").select("node", "colour"))
         while True:
             back = inside.join(member.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
             more = cut(member.unionByName(back).distinct())
             if more.count() == member.count():
                 break
             member = more
-        sizes = member.groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
-        done = cut(done.unionByName(member.join(sizes, "colour").where("n > 1").select("node", F.col("colour").alias("component"))))
-        left = cut(left.join(member.select(F.col("node").alias("src")), "src", "left_anti").join(member.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        sizes = member.groupBy("colour").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("component"))
+        done = cut(done.unionByName(member.join(sizes, "colour").where("n > 1").select("node", "component")))
+        left = cut(inside.join(member.select(F.col("node").alias("src")), "src", "left_anti").join(member.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
     return done
 
 

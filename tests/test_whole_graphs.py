@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from codeloom.operators import graph
 from codeloom.plans import queries
@@ -37,3 +36,15 @@ def test_ranks_converge(spark):
     assert {x.node: x.rank for x in queries.QUERIES["pagerank_trade_converged"](spark, SF).collect()} == pytest.approx(want, abs=7e-6)
     eight = sorted(want, key=lambda n: -want[n])[:8]
     assert {n for x in queries.QUERIES["drawn_edges_converged"](spark, SF).collect() for n in (x.src, x.dst)} <= set(eight)
+
+
+def test_chains_of_cycles_are_all_found(spark):
+    def chain(n):
+        name = "{:03d}{}".format
+        edges = [(name(i, a), name(i, b)) for i in range(n) for a, b in ("xy", "yx")] + [(name(i, "y"), name(i + 1, "x")) for i in range(n - 1)]
+        return spark.createDataFrame(edges, "src string, dst string"), sorted((name(i, a), name(i, "x")) for i in range(n) for a in "xy")
+
+    for n, small in ((100, 500_000), (5, 0)):
+        edges, want = chain(n)
+        assert sorted((r.node, r.component) for r in graph.cycle_groups(edges, small=small).collect()) == want
+    assert graph.cycle_groups(edges.limit(0)).count() == 0
