@@ -113,16 +113,46 @@ def top(ranks: DataFrame, k: int = 10) -> DataFrame:
     return ranks.orderBy(F.desc("rank"), "node").limit(k)
 
 
-def hops(edges: DataFrame, source: str, bound: int = 20_000, most: int = 64) -> DataFrame:
+def _hops_in_one_task(both: DataFrame, source: str, bound: int, most: int | None) -> DataFrame:
+    """The same search as below in one task, for graphs that surely fit."""
+
+    def run(pdf):
+        import pandas as pd
+
+        near: dict[str, list[str]] = {}
+        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+            near.setdefault(a, []).append(b)
+        found: dict[str, tuple[int, str | None]] = {source: (0, None)}
+        front, i = [source], 0
+        while front and len(found) <= bound and (most is None or i < most):
+            i += 1
+            fresh: dict[str, str] = {}
+            for a in front:
+                for b in near.get(a, ()):
+                    if b not in found:
+                        fresh[b] = min(a, fresh.get(b, a))
+            found |= {b: (i, a) for b, a in fresh.items()}
+            front = list(fresh)
+        return pd.DataFrame({"node": list(found), "hops": [h for h, _ in found.values()], "parent": [a for _, a in found.values()]})
+
+    # a row of the source's own, so that the task runs on graphs without edges too
+    rows = both.union(both.sparkSession.createDataFrame([(source, source)], both.schema))
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, "node string, hops int, parent string")
+
+
+def hops(edges: DataFrame, source: str, bound: int = 20_000, most: int | None = None, small: int = 500_000) -> DataFrame:
     """node, hops, parent: fewest hops from `source`, direction ignored; the parent is the least node one hop nearer.
 
-    Stops when nothing new is found, or past `bound` visited nodes (then farther nodes are missing, and `visited` of the
-    result would exceed the bound).
+    Stops when nothing new is found, after `most` hops if given, or past `bound` visited nodes (then farther nodes are
+    missing, and the result has more than `bound` rows). Graphs of at most `small` edges, which are counted, run in one task.
     """
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    if both.count() <= small:
+        return cut(_hops_in_one_task(both, source, bound, most))
     found = both.sparkSession.createDataFrame([(source, 0, None)], "node string, hops int, parent string")
-    front = found
-    for i in range(1, most + 1):
+    front, i = found, 0
+    while most is None or i < most:
+        i += 1
         step = both.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         front = cut(step.join(found, "node", "left_anti").select("node", F.lit(i).alias("hops"), "parent"))
         if front.isEmpty():
@@ -133,16 +163,39 @@ def hops(edges: DataFrame, source: str, bound: int = 20_000, most: int = 64) ->
     return found
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, bound: int = 20_000) -> DataFrame:
-    """step, node, forward: the path's nodes in order, `forward` whether its edge leads from the node before to this one. Empty if none."""
-    found = cut(hops(edges, source, bound))
+class Exhausted(Exception):
+    """A search stopped at its bound, so that it does not know whether there is a path."""
+
+
+def shortest_path(edges: DataFrame, source: str, target: str, bound: int = 20_000, small: int = 500_000) -> DataFrame:
+    """step, node, forward: the path's nodes in order, `forward` whether its edge leads from the node before to this one. Empty if none.
+
+    Raises Exhausted if the target is not among the nodes visited up to `bound` and edges lead on from these.
+    """
+    found = cut(hops(edges, source, bound, small=small))
     path = found.where(F.col("node") == target).select("node", "hops", "parent")
-    have = path
-    while True:
-        have = cut(found.join(have.select(F.col("parent").alias("node")), "node", "left_semi"))
-        if have.isEmpty():
-            break
-        path = cut(path.unionByName(have))
+    if path.isEmpty() and found.count() > bound:
+        ends = edges.select("src", "dst").union(edges.select("dst", "src"))
+        if not ends.join(found.select(F.col("node").alias("src")), "src", "left_semi").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").isEmpty():
+            raise Exhausted(f"stopped past {bound} visited nodes")
+    if found.count() <= small:
+
+        def back(pdf):
+            rows = {n: (h, None if a != a else a) for n, h, a in zip(pdf["node"], pdf["hops"], pdf["parent"], strict=True)}
+            at, kept = target if target in rows else None, []
+            while at is not None:
+                kept.append(at)
+                at = rows[at][1]
+            return pdf[pdf["node"].isin(kept)][["node", "hops", "parent"]]
+
+        path = cut(found.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(back, "node string, hops int, parent string"))
+    else:
+        have = path
+        while True:
+            have = cut(found.join(have.select(F.col("parent").alias("node")), "node", "left_semi"))
+            if have.isEmpty():
+                break
+            path = cut(path.unionByName(have))
     direct = edges.select(F.col("src").alias("parent"), F.col("dst").alias("node"), F.lit(True).alias("d")).distinct()
     return path.join(direct, ["parent", "node"], "left").select(F.col("hops").alias("step"), "node", F.coalesce("d", F.lit(False)).alias("forward"))
 

@@ -48,3 +48,17 @@ def test_chains_of_cycles_are_all_found(spark):
         edges, want = chain(n)
         assert sorted((r.node, r.component) for r in graph.cycle_groups(edges, small=small).collect()) == want
     assert graph.cycle_groups(edges.limit(0)).count() == 0
+
+
+def test_paths_longer_than_64_hops_and_bounds(spark):
+    edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(100)] + [("q", "r")], "src string, dst string")
+    path = graph.shortest_path(edges, "000", "100").orderBy("step").collect()
+    assert [r.node for r in path] == [f"{i:03d}" for i in range(101)] and all(r.forward for r in path[1:])
+    assert graph.shortest_path(edges, "000", "q").count() == 0
+    with pytest.raises(graph.Exhausted):
+        graph.shortest_path(edges, "000", "100", bound=50)
+    assert graph.shortest_path(edges, "000", "q", bound=100).count() == 0  # all 101 nodes seen: there is none
+    few = edges.where("src < '006'")
+    one, more = (sorted(map(tuple, graph.hops(few, "002", small=k).collect())) for k in (100, 0))
+    assert one == more and max(h for _, h, _ in one) == 4
+    assert [r.node for r in graph.shortest_path(few, "000", "004", small=0).orderBy("step").collect()] == ["000", "001", "002", "003", "004"]
