@@ -287,6 +287,35 @@ def import_cycles(spark, sf_dir):
     return graph.cycle_groups(_heavy(spark, sf_dir))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, str]:
+    """All edges between files, by imports and symbols, and the first and the last path."""
+    ends = facts.files(read(spark, sf_dir, "documents")).agg(F.min("path"), F.max("path")).first()
+    return graph.cut(graph.file_edges(*_facts(spark, sf_dir)).select("src", "dst")), ends[0] or "", ends[1] or ""
+
+
+@query()
+def file_hops(spark, sf_dir):
+    """Hops from the first file over the whole file graph, however many."""
+    edges, first, _ = _whole(spark, sf_dir)
+    return graph.hops(edges, first, bound=1 << 62).select("node", F.col("hops").cast("long").alias("hops"))
+
+
+@query()
+def file_neighbourhood(spark, sf_dir):
+    edges, first, _ = _whole(spark, sf_dir)
+    return graph.neighbourhood(edges, first, 2).select("node", F.col("hops").cast("long").alias("hops"))
+
+
+@query()
+def file_path(spark, sf_dir):
+    return graph.shortest_path(*_whole(spark, sf_dir), bound=1 << 62)
+
+
+@query()
+def file_cycles(spark, sf_dir):
+    return graph.cycle_groups(_whole(spark, sf_dir)[0])
+
+
 _SYM = "sym AS (SELECT src AS a, dst AS b, weight FROM trade UNION ALL SELECT dst, src, weight FROM trade), und AS (SELECT a, b, sum(weight) AS weight FROM sym GROUP BY a, b)"
 
 

@@ -62,3 +62,31 @@ def test_paths_longer_than_64_hops_and_bounds(spark):
     one, more = (sorted(map(tuple, graph.hops(few, "002", small=k).collect())) for k in (100, 0))
     assert one == more and max(h for _, h, _ in one) == 4
     assert [r.node for r in graph.shortest_path(few, "000", "004", small=0).orderBy("step").collect()] == ["000", "001", "002", "003", "004"]
+
+
+def test_whole_file_graph_against_brute_force(spark):
+    edges, first, last = queries._whole(spark, SF)
+    pairs = [(e.src, e.dst) for e in edges.collect()]
+    nodes = sorted({n for e in pairs for n in e})
+    near = {n: set() for n in nodes}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want, front = {first: 0}, [first]
+    while front:
+        front = sorted({b for a in front for b in near[a]} - want.keys())
+        want |= dict.fromkeys(front, max(want.values()) + 1)
+    run = {n: queries.QUERIES[n](spark, SF).collect() for n in ("file_hops", "file_neighbourhood", "file_path", "file_cycles")}
+    assert {r.node: r.hops for r in run["file_hops"]} == want
+    assert {r.node: r.hops for r in run["file_neighbourhood"]} == {n: h for n, h in want.items() if h <= 2}
+    steps = sorted((r.step, r.node) for r in run["file_path"])
+    assert [i for i, _ in steps] == list(range(want[last] + 1)) and steps[0][1] == first and steps[-1][1] == last
+    assert all(b in near[a] for (_, a), (_, b) in zip(steps, steps[1:]))
+    reach = np.eye(len(nodes), dtype=np.float32)
+    at = {n: i for i, n in enumerate(nodes)}
+    for a, b in pairs:
+        reach[at[a], at[b]] = 1
+    for _ in range(12):
+        reach = (reach @ reach > 0).astype(np.float32)
+    both = (reach * reach.T) > 0
+    assert {r.node: r.component for r in run["file_cycles"]} == {n: nodes[int(np.argmax(both[i]))] for n, i in at.items() if both[i].sum() > 1}
