@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.plans.lineage import shared_dir
 
+#: Bytes of text that a worker takes in at once (one row at least), and of a batch that Spark hands to it.
+PIECE = 512 << 10
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table. Only Spark's readers touch the path, which may be in any store."""
@@ -29,19 +35,60 @@ def cut(df: DataFrame, *, like: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_memory() -> None:
+    """Gives back what this process's allocators keep for later; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """df.mapInArrow(run, ddl) with batches of at most `BATCH_BYTES`, whose worker gives memory back at a task's end.
+
+    The limit is a setting of the session, and is only ever lowered.
+    """
+    bound_batches(df.sparkSession)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        free_memory()
+
+    return df.mapInArrow(released, ddl)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get(_BATCH_SETTING).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def row_key(text: Column) -> Column:
+    """Tells the texts under one doc_id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), text.isNull())
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Bytes of text and number of rows, one map-side aggregate. They size partitions; no result depends on them."""
     row = docs.agg(F.sum(F.octet_length(F.col(text))), F.count(F.lit(1))).first()
     return int(row[0] or 0), int(row[1])
 
 
-def hashed_sample(rows: DataFrame, key: str, size: int, total: int) -> DataFrame:
+def hashed_sample(rows: DataFrame, key: str | list[str], size: int, total: int) -> DataFrame:
     """About `size` of the `total` rows, those whose key's hash is least; all if there are no more.
 
     A plain filter: unlike a top-n it sends no more to the driver when there are more tasks.
     """
     share = min(1.0, size / max(total, 1))
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
+    return rows.where(F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +108,7 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def small_pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text (one row at least), which bounds a worker's memory."""
     for batch in batches:
         _, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, hashed_sample, whole_groups
+from codeloom.llm.common import arrow_map, cut, hashed_sample, whole_groups
 from codeloom.llm.components import components
 
 SAMPLE = 4096
@@ -182,7 +182,7 @@ def _candidates(nodes: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
                 m = key.shape[1]
                 yield pa.record_batch([key.ravel(), np.repeat(piece.column(0).to_numpy(), m), np.repeat(code, m)], names=["key", "node", "code"])
 
-    entries = nodes.select("node", "v").mapInArrow(enter, "key long, node long, code long")
+    entries = arrow_map(nodes.select("node", "v"), enter, "key long, node long, code long")
     large = cut(entries.groupBy("key").count().where(F.col("count") > BLOCK), like="large")
     dealt = entries.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / F.lit(BLOCK)), F.lit(1)).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -226,7 +226,7 @@ def _candidates(nodes: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
         return (want == key) | ((want < 0) & (key >> width >= per))
 
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.mapInArrow(meet, "a long, b long").distinct()
+    return arrow_map(ordered, meet, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, d: int, cosine: float) -> DataFrame:
@@ -241,7 +241,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, d: int, cosine: float) -> Dat
                 cos = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
                 yield piece.filter(pa.array(cos >= cosine)).select([0, 1])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cosine: float = 0.9) -> DataFrame:

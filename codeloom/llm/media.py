@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_pieces
+from codeloom.llm.common import arrow_map, small_pieces
 
 UNKNOWN = "application/octet-stream"
 
@@ -239,7 +239,7 @@ def sniff(rows: DataFrame, key: str, column: str, declared: str | None = None) -
             made = pa.RecordBatch.from_pylist(out, schema)
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=[key, *schema.names])
 
-    return rows.mapInArrow(run, ddl)
+    return arrow_map(rows, run, ddl)
 
 
 def media_digests(docs: DataFrame, unit: int = 64) -> DataFrame:
@@ -270,4 +270,4 @@ def media_digests(docs: DataFrame, unit: int = 64) -> DataFrame:
             yield pa.record_batch([batch.column(0), *out], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_map(rows, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, small_pieces, text_buffer
+from codeloom.llm.common import arrow_map, cut, small_pieces, text_buffer
 from codeloom.llm.language import held_out
 from codeloom.llm.wordhash import lower_ascii, row_bounds, word_hashes, words
 
@@ -107,17 +107,18 @@ def statistics(column: pa.Array) -> np.ndarray:
     ])
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics, per row of `docs` (doc_id, text)."""
+def with_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, x (the statistics) and `carry`, per row of `docs` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_pieces(batches, most=2 << 20):
+        for batch in small_pieces(batches):
             x = statistics(batch.column(1))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.record_batch([batch.column(0), flat], names=["doc_id", "x"])
+            yield pa.record_batch([batch.column(0), flat, *batch.columns[2:]], names=["doc_id", "x", *carry])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return arrow_map(rows, run, f"doc_id long, x array<double>{kinds}")
 
 
 @dataclass
@@ -160,7 +161,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, shrink: float = 0.1, spread: flo
                 sums[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
         yield pa.record_batch([np.repeat([0, 1], sums.shape[1]).astype(np.int32), np.tile(np.arange(sums.shape[1]), 2).astype(np.int32), sums.ravel()], names=["label", "at", "value"])
 
-    got = rows.mapInArrow(moments, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
+    got = arrow_map(rows, moments, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
     sums = np.zeros((2, 1 + d + d * d))
     for r in got:
         sums[r.label, r["at"]] = r.value
@@ -179,17 +180,20 @@ def fit(stats: DataFrame, labels: DataFrame, *, shrink: float = 0.1, spread: flo
 
 
 def score(stats: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
-    """Per row of `stats`: doc_id, held_out, score, predicted (1 if score >= limit)."""
+    """Per row of `stats`: doc_id, held_out, score, predicted (1 if score >= limit) and the other columns of `stats`."""
+    more = [c for c in stats.columns if c not in ("doc_id", "x")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.scores(batch.column(1).flatten().to_numpy().reshape(-1, len(NAMES)))
-            yield pa.record_batch([batch.column(0), batch.column(2), s, (s >= limit).astype(np.int32)], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.record_batch([batch.column(0), batch.column(2), s, (s >= limit).astype(np.int32), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *more])
 
-    return stats.select("doc_id", "x", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    kinds = "".join(f", `{c}` {stats.schema[c].dataType.simpleString()}" for c in more)
+    rows = stats.select("doc_id", "x", held_out(F.col("doc_id")).alias("held_out"), *more)
+    return arrow_map(rows, run, f"doc_id long, held_out boolean, score double, predicted int{kinds}")
 
 
-def quality(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """Fits on the labelled rows of `docs` outside the held-out fold and scores every row."""
-    stats = cut(with_statistics(docs), like="statistics")
+def quality(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, *, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Fits on the labelled rows of `docs` outside the held-out fold and scores every row; columns in `carry` come along."""
+    stats = cut(with_statistics(docs, carry), like="statistics")
     return score(stats, fit(stats, labels), limit)

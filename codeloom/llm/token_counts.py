@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_pieces
+from codeloom.llm.common import arrow_map, small_pieces
 
 MARK = "▁"
 #: Entries of a worker's table of merged pre-tokens; it starts anew when full.
@@ -122,4 +122,4 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
             yield pa.record_batch([batch.column(0), [len(t.encode()) if t else 0 for t in texts], n, [x > limit for x in n]], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(rows, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
