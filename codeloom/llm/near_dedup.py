@@ -7,15 +7,18 @@ allowed e_i errors with sum(e_i + 1) > DISTANCE, so by pigeonhole every pair wit
 most e_i errors; keys are a chunk with every choice of e_i places left out, and such a pair shares a key. All pairs under
 the signature distance are thus found, and then confirmed on the full sets.
 
-Plan. Equal sets are one node from the start. For each key its least and greatest node are its leaders: a node is paired
-with the leaders of its keys, which is linear in the nodes whatever a group's size. Pairs within the signature distance
-are confirmed on their texts, and components are built from the links. Only keys whose nodes still lie in several
-components can hide a link that would matter: their nodes are compared in blocks of bounded size (a group of g nodes is
-dealt to pairs of blocks). First each node names its most similar partner in another component, which is linear again;
-those are confirmed and joined. Then all pairs that still lie in different components are tried. A pair is emitted only
-if it is within the distance, its sets' sizes allow the similarity, and a finer sketch (the least hash in each of 512
-ranges, one byte each) does not rule it out by `DEVIATIONS` standard deviations. No group meets in one task, no pair
-inside a component is made, and no link between components is lost but by those bounds.
+Plan. Equal sets are one node from the start. For each key its least and greatest node are its leaders, which is linear in
+the nodes whatever a group's size: each node is held against the leader with which it shares most keys, and components are
+built from the links that are confirmed. Only keys whose nodes still lie in several components can hide a link that would
+matter: the nodes outside a key's largest component are compared with all of the key's nodes, in blocks of bounded size.
+First each node names its most similar partner in another component; those are confirmed and joined. Then all pairs that
+still lie in different components are tried. A pair is emitted only if it is within the distance, its sets' sizes allow the
+similarity, and so do the bitmaps: each set has a bit at every shingle's hash, and a bit that the other lacks is a shingle
+that the other lacks, so what the bitmaps leave of the intersection bounds it from above and rules no link out.
+
+Confirming ships a set (sorted shingle hashes, taken once from each text concerned) once for all partners of a hub, dealt
+into parts of bounded size. No group meets in one task, no pair inside a component is made, and the only links between
+components that can be lost are those whose signature distance is above the limit.
 
 Defined results. No text or no words: empty set, n_shingles 0, own component, kept. Fewer than `size` words: the whole
 sequence is the one shingle. Rows with equal doc_id are members of their sets like any other. Null doc_id: never a
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, small_pieces, text_buffer, whole_groups
+from codeloom.llm.common import arrow_map, cut, fresh, row_key, small_pieces, text_buffer, whole_groups
 from codeloom.llm.components import components
 from codeloom.llm.wordhash import lower_ascii, mix, powers, row_bounds, run_hashes, word_hashes, words
 
@@ -41,12 +44,15 @@ PLACES = 24
 DISTANCE = 14
 #: Places of each chunk and the errors it is allowed: the sum of errors + 1 is 15 > DISTANCE.
 CHUNKS = [(4, 2), (4, 2), (4, 2), (4, 1), (4, 1), (4, 1)]
-#: How far below the limit a sketch's estimate may lie.
-DEVIATIONS = 3.7
-RANGES = 512
-#: Nodes of a block in the comparison of large groups.
-BLOCK = 128
+#: Bits of a bitmap: a power of two, at least so many for each shingle (long texts: fewer, up to the widest).
+FILLED, WIDEST = 4, 1 << 15
+#: Nodes on each side of a block in the comparison of large groups, and partners of a hub that one part confirms.
+BLOCK = 2048
+PART = 512
+#: Pairs of a group up to this size are made at once with those of its neighbours.
+SMALL = 48
 _SHORT_BASE = 0x8CB92BA72F3D8DD7
+_SET, _BIT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 _salts = mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _odd = mix(_salts) | np.uint64(1)
 
@@ -77,42 +83,62 @@ def shingles(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray
     return row_[order], found_[order]
 
 
+def bitmap_bits(count: np.ndarray) -> np.ndarray:
+    """The number of bits of a set's bitmap."""
+    return np.minimum(WIDEST, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(count, 1) * FILLED)).astype(np.int64)))
+
+
 def sets(column: pa.Array, size: int = SIZE):
-    """Of each text with words: its row, number of distinct shingles, a hash of the set, the signature (16-bit places) and the sketch."""
+    """Of each text with words: its row, number of distinct shingles, a hash of the set, the signature (16-bit places) and the bitmap."""
     row, h = shingles(column, size)
     if not len(row):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.uint16), np.zeros((0, RANGES), np.uint8)
-    g = mix(h ^ np.uint64(0x2545F4914F6CDD1D))
-    order = np.lexsort((g, row))
-    row, h, g = row[order], h[order], g[order]
-    new = np.r_[True, (row[1:] != row[:-1]) | (g[1:] != g[:-1])]
-    row, h, g = row[new], h[new], g[new]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.uint16), []
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
+    row, h = row[new], h[new]
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     count = np.diff(np.r_[first, len(row)])
-    key = mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), first) + count.astype(np.uint64))
+    key = mix(np.add.reduceat(mix(h ^ _SET), first) + count.astype(np.uint64))
     signature = np.empty((len(first), PLACES), np.uint16)
     for k in range(PLACES):
         signature[:, k] = mix(np.minimum.reduceat((h ^ _salts[k]) * _odd[k], first)) >> np.uint64(48)
-    part = (g >> np.uint64(55)).astype(np.int64)
-    lead = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
-    sketch = np.zeros((len(first), RANGES), np.uint8)
-    sketch[np.searchsorted(row[first], row[lead]), part[lead]] = g[lead] % np.uint64(255) + np.uint64(1)
-    return row[first], count, key.view(np.int64), signature, sketch
-
-
-def possible(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int, deviations: float = DEVIATIONS) -> np.ndarray:
-    """The similarity that each pair's sketches suggest, or -1 where they and the sets' sizes rule `percent` out.
-
-    A sketch samples the union without replacement, so at the limit itself, where the union's size follows from the sets'
-    sizes, the estimate's spread shrinks with the part of the union that is left out.
-    """
-    used = np.maximum(((x != 0) | (y != 0)).sum(axis=1), 1)
-    estimate = ((x == y) & (x != 0)).sum(axis=1) / used
-    s = percent / 100
-    union = np.maximum((nx + ny) / (1 + s), used + 1)
-    spread = np.sqrt(s * (1 - s) / used * (union - used) / (union - 1)) + 1 / used
-    fits = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (estimate >= s - deviations * spread)
-    return np.where(fits, estimate, -1.0)
+    width = bitmap_bits(count)
+    at = np.r_[0, np.cumsum(width)]
+    bits = np.zeros(at[-1], bool)
+    bits[np.repeat(at[:-1], count) + (mix(h ^ _BIT).view(np.int64) & np.repeat(width - 1, count))] = True
+    packed = np.packbits(bits, bitorder="little")
+    return row[first], count, key.view(np.int64), signature, [packed[x // 8 : y // 8].tobytes() for x, y in zip(at, at[1:], strict=False)]
+
+
+class Bitmaps:
+    """The bitmaps of a table's rows, as matrices of equal width."""
+
+    def __init__(self, column: pa.Array) -> None:
+        raw = column.to_pylist()
+        self.width = np.array([len(b) for b in raw], np.int64)
+        self.matrix: dict[int, np.ndarray] = {}
+        self.place: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own, twice = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            wide = np.frombuffer(b"".join(raw[i] for i in twice), np.uint64).reshape(len(twice), 2, w // 8)
+            plain = np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(len(own), w // 8)
+            self.matrix[w] = np.concatenate([plain, wide[:, 0] | wide[:, 1]])
+            self.place[w] = np.zeros(len(raw), np.int64)
+            self.place[w][np.r_[own, twice]] = np.arange(len(own) + len(twice))
+
+    def most(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+        """No pair of rows (x, y), whose sets hold nx and ny, shares more than this; rows may differ twofold in width."""
+        out = np.empty(len(x), np.int64)
+        least = np.minimum(self.width[x], self.width[y])
+        for w in np.unique(least).tolist():
+            rows = np.flatnonzero(least == w)
+            step = max(1, (2 << 20) // w)
+            for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+                a, b = self.matrix[w][self.place[w][x[part]]], self.matrix[w][self.place[w][y[part]]]
+                lacks, lacked = (np.bitwise_count(v).sum(axis=1, dtype=np.int64) for v in (a & ~b, b & ~a))
+                out[part] = np.minimum(nx[part] - lacks, ny[part] - lacked)
+        return out
 
 
 def keys(signature: np.ndarray) -> np.ndarray:
@@ -145,20 +171,23 @@ def key_number(key: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary()), ("sketch", pa.binary())])
+    """doc_id, row, the columns behind them and n_shingles, node, signature, bits, from doc_id, text, row and other columns."""
+    more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_pieces(batches, most=2 << 20):
-            row, count, key, signature, sketch = sets(batch.column(1))
-            n = np.zeros(batch.num_rows, np.int64)
-            n[row] = count
-            at = dict(zip(row.tolist(), range(len(row)), strict=True))
-            nodes = [key[at[i]] if i in at else None for i in range(batch.num_rows)]
-            signs = [signature[at[i]].tobytes() if i in at else None for i in range(batch.num_rows)]
-            fine = [sketch[at[i]].tobytes() if i in at else None for i in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary()), pa.array(fine, pa.binary())], schema=schema)
+        for batch in small_pieces(batches):
+            row, count, key, signature, bits = sets(batch.column(1))
+            n, at = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -1)
+            n[row], at[row] = count, np.arange(len(row))
+            empty = at < 0
+            at = at.tolist()
+            node = pa.array(np.append(key, 0)[at], mask=empty)
+            signs = [signature[i].tobytes() if i >= 0 else None for i in at]
+            found = [n, node, pa.array(signs, pa.binary()), pa.array([bits[i] if i >= 0 else None for i in at], pa.binary())]
+            yield pa.record_batch([batch.column(0), *batch.columns[2:], *found], names=["doc_id", *more, "n_shingles", "node", "signature", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, signature binary, sketch binary")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[2:])
+    return arrow_map(docs, run, f"doc_id long, {kinds}n_shingles long, node long, signature binary, bits binary")
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -168,148 +197,216 @@ def _keyed(nodes: DataFrame) -> DataFrame:
                 k = keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, PLACES))
                 yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), k.shape[1]))], names=["key", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
+    return arrow_map(nodes.select("node", "signature"), run, "key long, node long")
 
 
 def _bytes(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that signatures and sketches leave possible, with both nodes' documents."""
-    a = nodes.select(F.col("node").alias("a"), F.col("doc").alias("a_doc"), F.struct("signature", "sketch", "n").alias("x"))
-    b = nodes.select(F.col("node").alias("b"), F.col("doc").alias("b_doc"), F.struct("signature", "sketch", "n").alias("y"))
+def set_hash(distinct: np.ndarray) -> int:
+    """The node of a set of distinct shingle hashes."""
+    total = mix(distinct ^ _SET).sum(dtype=np.uint64) + np.uint64(len(distinct))
+    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                (p, x, n), (q, y, m) = (batch.column(i).flatten() for i in (4, 5))
-                near = (_bytes(p, np.uint16, PLACES) != _bytes(q, np.uint16, PLACES)).sum(axis=1) <= DISTANCE
-                near &= possible(_bytes(x, np.uint8, RANGES), _bytes(y, np.uint8, RANGES), n.to_numpy(), m.to_numpy(), percent) >= 0
-                yield batch.filter(pa.array(near)).select([0, 1, 2, 3])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_doc", "b_doc", "x", "y").mapInArrow(run, "a long, b long, a_doc long, b_doc long")
+def _roles(pairs: DataFrame) -> DataFrame:
+    """Which sets meet where, from distinct pairs (a, b): node, hub, part, kind (0: the hub's own set).
+
+    The end of a pair that has more partners is its hub; a hub's partners are dealt into parts of about `PART`.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    ends = pairs.join(degree.withColumnsRenamed({"node": "a", "n": "x"}), "a").join(degree.withColumnsRenamed({"node": "b", "n": "y"}), "b")
+    hub = F.col("x") >= F.col("y")
+    spokes = ends.select(F.when(hub, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub, F.col("b")).otherwise(F.col("a")).alias("node"))
+    parts = spokes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
+    dealt = spokes.join(parts, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"))
+    own = parts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
+    return dealt.unionByName(own)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets, taken anew from the texts, are similar enough."""
-    a = texts.select(F.col("doc_id").alias("a_doc"), F.col("text").alias("a_text"))
-    b = texts.select(F.col("doc_id").alias("b_doc"), F.col("text").alias("b_text"))
+def _with_sets(docs: DataFrame, roles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`roles` with the sorted hashes of each node's set, taken from the text of its document."""
+    named = roles.join(nodes.select("node", "doc", "row"), "node")
+    joined = docs.join(named, (docs.doc_id == named.doc) & (docs.row == named.row)).select("text", "node", "hub", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in small_pieces(iter([whole]), "b_text", 1 << 20):
-                both = []
-                for i, node in ((2, 0), (3, 1)):
-                    row, h = shingles(batch.column(i))
-                    at = row_bounds(row, batch.num_rows)
-                    own = [np.unique(h[x:y]) for x, y in zip(at, at[1:], strict=False)]
-                    want = batch.column(node).to_numpy()
-                    right = [set_hash(x) == w for x, w in zip(own, want, strict=True)]  # not so if another row has the same doc_id
-                    both.append((own, right))
-                (x, fine), (y, good) = both
-                keep = []
-                for i in range(batch.num_rows):
-                    shared = len(np.intersect1d(x[i], y[i], assume_unique=True))
-                    keep.append(fine[i] and good[i] and 100 * shared >= percent * (len(x[i]) + len(y[i]) - shared))
-                yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    joined = pairs.join(a, "a_doc").join(b, "b_doc").select("a", "b", "a_text", "b_text")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+        seen: set[tuple[int, int, int, int]] = set()  # rows that repeat give a set once
+        for batch in small_pieces(batches):
+            row, h = shingles(batch.column(0))
+            at = row_bounds(row, batch.num_rows)
+            take, out = [], []
+            for i, role in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                if role not in seen:
+                    seen.add(role)
+                    take.append(i)
+                    out.append(np.unique(h[at[i] : at[i + 1]]).tobytes())
+            yield pa.record_batch([*(c.take(pa.array(take, pa.int64())) for c in batch.columns[1:]), pa.array(out, pa.binary())], names=["node", "hub", "part", "kind", "set"])
 
+    return arrow_map(joined, run, "node long, hub long, part int, kind int, set binary")
 
-def set_hash(distinct: np.ndarray) -> int:
-    """The node of a set of distinct shingle hashes."""
-    total = mix(distinct ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(distinct))
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
+def _confirmed(placed: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among roles with sets: those of a hub's partners whose sets are similar enough to its own."""
 
-def _across(members: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Possible pairs of different components, from `members` (key, n, node, component, signature, sketch, size); with
-    `best_only` only each node's most similar partner in a block, if it looks like a link. A pair is judged under the
-    first of the keys it shares, so it comes once."""
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature", "sketch", "size")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for node, hub, part, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                if not kind:
+                    at, own = (hub, part), x
+                elif at == (hub, part) and 100 * min(len(x), len(own)) >= percent * max(len(x), len(own)):
+                    few, many = (x, own) if len(x) < len(own) else (own, x)
+                    place = np.searchsorted(many, few)
+                    shared = int(np.count_nonzero(many[np.minimum(place, len(many) - 1)] == few))
+                    if 100 * shared >= percent * (len(x) + len(own) - shared):
+                        a.append(min(node, hub))
+                        b.append(max(node, hub))
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    ordered = placed.select("node", "hub", "part", "kind", "set").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    return arrow_map(ordered, run, "a long, b long")
+
+
+def _mixed(held: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (key, node, component) of keys whose nodes lie in several components."""
+    labelled = held.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return labelled.join(cut(several, like="several"), "key")
+
+
+def _dealt(mixed: DataFrame) -> DataFrame:
+    """`mixed` dealt into blocks (key, i, j) of about `BLOCK` members on each side: all members in rows i (side 0), those
+    outside the key's largest component in columns j (side 1; `both` where one block holds all, which needs no copies)."""
+    sizes = mixed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    per_key = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("m"), F.max_by("component", "n").alias("big"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    shape = per_key.select("key", "big", blocks(F.col("n")).alias("rows"), blocks(F.col("n") - F.col("m")).alias("columns"))
+    all_ = mixed.join(cut(shape, like="shape"), "key").withColumn("outer", F.col("component") != F.col("big"))
+    one = (F.col("rows") == 1) & (F.col("columns") == 1)
+    ids = ["key", "node", "component", "outer"]
+    row = all_.select(*ids, F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(0).alias("side"), one.alias("both"))
+    column = all_.where(F.col("outer") & ~one).select(*ids, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("node", F.lit("column")), F.col("columns")).cast("int").alias("j"), F.lit(1).alias("side"), F.lit(False).alias("both"))
+    return row.unionByName(column)
+
+
+def _pairs_of_small(edge: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows p < q inside each of the groups `few`, which begin at edge[g]."""
+    size = np.diff(edge)[few]
+    row = np.repeat(edge[few], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    after = np.repeat(edge[few] + size, size) - row - 1
+    p = np.repeat(row, after)
+    return p, p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def _across(mixed: DataFrame, nodes: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Possible pairs (a, b) of different components that share a key; with `best_only` each member's most similar partner
+    in a block. A pair is judged under the first of the keys that it shares, so it comes once."""
+    dealt = _dealt(mixed).join(nodes.select("node", "signature", "bits", "n"), "node")
 
     places = key_places().astype(np.float32)
     needed = places.sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "i", "j"]):
-            key, i, j, own, node, comp, size = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "component", "size"))
-            sign, sketch = _bytes(table.column("signature"), np.uint16, PLACES), _bytes(table.column("sketch"), np.uint8, RANGES)
-            number = key_number(key)
+            key, i, j, side, node, comp, size = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "component", "n"))
+            outer, both = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(bool) for c in ("outer", "both"))
+            sign, bitmaps, number = _bytes(table.column("signature"), np.uint16, PLACES), Bitmaps(table.column("bits")), key_number(key)
             edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-            for lo, hi in zip(edge, edge[1:], strict=False):
-                if hi - lo < 2:
-                    continue
-                p, q = np.triu_indices(hi - lo, 1)
-                p, q = p + lo, q + lo
-                want = comp[p] != comp[q]
-                if i[lo] != j[lo]:
-                    want &= own[p] != own[q]
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def judge(p: np.ndarray, q: np.ndarray) -> None:
+                small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+                want = (comp[p] != comp[q]) & (100 * small >= percent * large)
                 p, q = p[want], q[want]
-                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for at in range(0, len(p), 1 << 15):
                     x, y = p[at : at + (1 << 15)], q[at : at + (1 << 15)]
                     same = sign[x] == sign[y]
                     near = same.sum(axis=1) >= PLACES - DISTANCE
-                    near[near] = (same[near].astype(np.float32) @ places.T >= needed).argmax(axis=1) == number[lo]
+                    near[near] = (same[near].astype(np.float32) @ places.T >= needed).argmax(axis=1) == number[x[near]]
                     x, y = x[near], y[near]
-                    for to in range(0, len(x), 1 << 12):
-                        v, w = x[to : to + (1 << 12)], y[to : to + (1 << 12)]
-                        estimate = possible(sketch[v], sketch[w], size[v], size[w], percent, 1.0 if best_only else DEVIATIONS)
-                        found.append((v[estimate >= 0], w[estimate >= 0], estimate[estimate >= 0]))
-                x, y, estimate = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (p[:0], q[:0], np.zeros(0))
-                if best_only and len(x):
-                    one, two = np.r_[x, y], np.r_[y, x]
-                    order = np.lexsort((node[two], -np.r_[estimate, estimate], one))
-                    first = order[np.r_[True, np.diff(one[order]) != 0]]
-                    x, y = one[first], two[first]
-                if len(x):
-                    a, b = node[x], node[y]
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    if len(x):
+                        shared = bitmaps.most(x, y, size[x], size[y])
+                        union = size[x] + size[y] - shared
+                        fits = 100 * shared >= percent * union
+                        found.append((x[fits], y[fits], shared[fits] / union[fits]))
+
+            lone = both[edge[:-1]] & (np.diff(edge) <= SMALL)
+            groups = np.flatnonzero(lone & (np.diff(edge) > 1))
+            for at in range(0, len(groups), 256):
+                judge(*_pairs_of_small(edge, groups[at : at + 256]))
+            for g in np.flatnonzero(~lone).tolist():
+                own = np.arange(edge[g], edge[g + 1])
+                rows = own[side[own] == 0]
+                columns = own[outer[own]] if both[own[0]] else own[side[own] == 1]
+                step = max(1, (1 << 18) // max(1, len(columns)))
+                for at in range(0, len(rows), step):
+                    p, q = np.repeat(rows[at : at + step], len(columns)), np.tile(columns, len(rows[at : at + step]))
+                    once = ~outer[p] | (node[p] < node[q])
+                    judge(p[once], q[once])
+            x, y, score = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (edge[:0], edge[:0], np.zeros(0))
+            if best_only and len(x):
+                one, two = np.r_[x, y], np.r_[y, x]
+                order = np.lexsort((node[two], -np.r_[score, score], one))
+                first = order[np.r_[True, np.diff(one[order]) != 0]]
+                x, y = one[first], two[first]
+            if len(x):
+                a, b = node[x], node[y]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(ordered, run, "a long, b long").distinct()
+
 
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """`found` (node, component) with the components that `links` join made one: only components are searched again."""
+    a, b = found.withColumnsRenamed({"node": "a", "component": "x"}), found.withColumnsRenamed({"node": "b", "component": "y"})
+    named = cut(links.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")), like="named")
+    up = components(named.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnsRenamed({"node": "was", "component": "now"})
+    ends = named.select(F.col("a").alias("node"), F.col("x").alias("component")).union(named.select("b", "y")).distinct()
+    whole = found.unionByName(ends.join(found, "node", "left_anti"))
+    return cut(whole.join(up, whole.component == up.was, "left").select("node", F.coalesce("now", "component").alias("component")), like="found")
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept. Links are 100 * shared >= percent * union."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(_signed(docs), like="signed")
+
+def near_duplicates(docs: DataFrame, percent: int = 75, *, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept. Links are 100 * shared >= percent * union.
+
+    Columns in `carry` come along, row by row.
+    """
+    key = fresh(docs, "row")
+    others = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
+    rows = docs.withColumn(key, row_key(F.col("text"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("row"), *others)
+    docs = rows.select("doc_id", "text", "row")
+    signed = cut(_signed(rows), like="signed")
     known = signed.where("node is not null and doc_id is not null")
-    nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")), like="nodes")
+    least = F.min(F.struct("doc_id", "row", "n_shingles", "signature", "bits")).alias("m")
+    nodes = cut(known.groupBy("node").agg(least).select("node", F.col("m.doc_id").alias("doc"), "m.row", F.col("m.n_shingles").alias("n"), "m.signature", "m.bits"), like="nodes")
     groups = cut(_keyed(nodes).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), like="groups")
     held = cut(_keyed(nodes).join(groups, "key"), like="held")
 
-    star = held.select(F.col("low").alias("a"), F.col("node").alias("b")).union(held.select("node", "high")).where("a < b").distinct()
-    tried = cut(_close(star, nodes, percent), like="pairs")
-    involved = held.select("node").distinct().join(nodes.select("node", "doc"), "node").select(F.col("doc").alias("doc_id"))
-    texts = cut(docs.join(involved.distinct(), "doc_id", "left_semi"), like="texts")
-    links = cut(_confirmed(tried, texts, percent), like="links")
-    found = components(links)
+    star = held.select("node", F.col("low").alias("hub")).union(held.select("node", "high")).where("node <> hub")
+    often = star.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+    best = often.groupBy("node").agg(F.max_by("hub", F.col("c") * F.lit(1 << 56) + F.shiftrightunsigned("hub", 8)).alias("hub"))
+    tried = cut(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), like="pairs")
+    placed = cut(_with_sets(docs, _roles(tried), nodes), like="sets")
+    found = components(cut(_confirmed(placed, percent), like="links"))
 
-    tried = tried.select("a", "b")
-    documents = nodes.select("node", "doc")
+    known_sets = placed.where("kind = 1 or part = 0").select("node", "set")
     for best_only in (True, False):
-        labelled = held.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        several = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
-        members = labelled.join(cut(several, like="mixed"), "key").join(nodes.select("node", "signature", "sketch", F.col("n").alias("size")), "node")
-        more = _across(members, percent, best_only).join(tried, ["a", "b"], "left_anti")
-        named = more.join(documents.withColumnsRenamed({"node": "a", "doc": "a_doc"}), "a").join(documents.withColumnsRenamed({"node": "b", "doc": "b_doc"}), "b")
-        named = cut(named.select("a", "b", "a_doc", "b_doc"), like="pairs")
-        tried = tried.unionByName(named.select("a", "b"))
-        rest = cut(_confirmed(named, texts, percent), like="links")
-        if not rest.isEmpty():
-            links = links.unionByName(rest)
-            found = components(links)
+        mixed = cut(_mixed(held, found), like="mixed")
+        pairs = cut(_across(mixed, nodes, percent, best_only).join(tried, ["a", "b"], "left_anti"), like="pairs")
+        if pairs.isEmpty():
+            continue
+        tried = tried.unionByName(pairs)
+        links = cut(_confirmed(known_sets.join(_roles(pairs), "node"), percent), like="links")
+        found = _merged(found, links)
 
     least = found.join(nodes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
-    named = cut(found.join(cut(least, like="least"), "component").select("node", "least"), like="named")
+    named = found.join(cut(least, like="least"), "component").select("node", "least")
     ids = cut(nodes.select("node", "doc").join(named, "node", "left").select("node", F.coalesce("least", "doc").alias("least")), like="named")
-    out = signed.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    out = signed.select("doc_id", "n_shingles", "node", *[f"_carry{i}" for i in range(len(carry))]).join(ids, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)])
+    return out

@@ -3,11 +3,13 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import near_dedup
 from codeloom.llm.components import components
-from codeloom.llm.near_dedup import CHUNKS, DISTANCE, PLACES, keys, near_duplicates
+from codeloom.llm.near_dedup import CHUNKS, DISTANCE, PLACES, Bitmaps, keys, near_duplicates, sets
 
 
 def brute(rows):
@@ -76,3 +78,53 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 160)] + [(7, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(10, 61), 10), **dict.fromkeys(range(100, 160), 100), 5: 5, 7: 5}
+
+
+def test_links_at_the_limit_are_found(spark):
+    """Pairs at exactly 0.75: 60 shared shingles of 80."""
+    rows = []
+    for i in range(400):
+        for k in "ab":
+            rows.append((2 * i + (k == "b"), " ".join([f"w{i}.{j}" for j in range(64)] + [f"{k}{i}.{j}" for j in range(10)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert all(got[2 * i] == 2 * i for i in range(400))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(400)) >= 398  # 0.9999 of them by the signature distance
+
+
+def test_bitmaps_bound_the_intersection_from_above():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.sample(words, n)) for n in (5, 9, 17, 40, 90, 180, 400)]
+    for t in list(texts):
+        w = t.split()
+        w[rng.randrange(len(w))] = "other"
+        texts += [" ".join(w), " ".join(w[: max(1, len(w) * 3 // 4)])]
+    row, count, _, _, bits = sets(pa.array(texts))
+    assert row.tolist() == list(range(len(texts)))
+    bitmaps = Bitmaps(pa.array(bits, pa.binary()))
+    full = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} or {tuple(t.split())} for t in texts]
+    pairs = [(i, j) for i, j in combinations(range(len(texts)), 2) if 100 * min(count[i], count[j]) >= 75 * max(count[i], count[j])]
+    x, y = np.array(pairs).T
+    most = bitmaps.most(x, y, count[x], count[y])
+    assert all(m >= len(full[i] & full[j]) for (i, j), m in zip(pairs, most, strict=True))
+    assert np.mean([m < 0.5 * count[i] for (i, j), m in zip(pairs, most, strict=True) if not full[i] & full[j]]) > 0.8
+
+
+def test_a_large_group_of_near_but_different_texts(spark, monkeypatch):
+    """Blocks with rows and columns: one passage that all share, links only within families."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for family in range(25):
+        own = [f"f{family}.{i}" for i in range(30)]
+        for _ in range(rng.randint(1, 4)):
+            w = shared + own
+            w[rng.randrange(60, 90)] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(1000, rows[0][1]), (1, rows[5][1]), (1, rows[5][1]), (1, rows[-1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x"))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()), key=str)
+    assert got == brute(rows)
