@@ -9,11 +9,12 @@ is fitted on a part of the sample kept aside, and the least calibrated probabili
 Since the softmax is linear in the mean, a text's logits are the mean of one small vector for each bucket: prediction is
 one gather and one segmented sum over the bytes of a batch, without a Python object for a word.
 
-Plan: a count and one filtered scan for the sample (about `SAMPLE` rows of least hash of doc_id, those of at most
-`SAMPLE_BYTES` bytes), training on the driver, then one narrow map over whole texts.
+Plan: a count and one filtered scan for the sample (about `SAMPLE` labelled rows with a letter, of least hash of id, text
+and language; rows that repeat count once; a longer text gives its first `SAMPLE_CHARS` characters), training on the
+driver, then one narrow map over whole texts.
 
-Defined results. Null text or text without a letter: `und`, score 0, not accepted. Without a labelled row every
-prediction is `und`. Rows with null doc_id are never learned from; held_out is then null. Ties go to the language that
+Defined results. Null text or text without a letter: `und`, score 0, not accepted. Without a labelled row that
+has a letter every prediction is `und`. Rows with null doc_id are never learned from; held_out is then null. Ties go to the language that
 sorts first. Repeated rows stay; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import hashed_sample, small_pieces, text_buffer
+from codeloom.llm.common import arrow_map, hashed_sample, small_pieces, text_buffer
 
 BUCKETS, DIMENSIONS = 1 << 13, 8
-SAMPLE, SAMPLE_BYTES = 4000, 16_384
+SAMPLE, SAMPLE_CHARS = 4000, 16_384
 ORDERS = (3, 4)
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -48,7 +49,8 @@ def buckets(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     h = np.full(n, np.uint32(order * 40503), np.uint32)
     wide = data.astype(np.uint32)
     for k in range(order):
-        h[: n - k] = (h[: n - k] ^ wide[k:]) * np.uint32(0x01000193)
+        m = max(n - k, 0)
+        h[:m] = (h[:m] ^ wide[k:]) * np.uint32(0x01000193)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     out = (h >> np.uint32(32 - 13)).astype(np.int32)
@@ -142,12 +144,18 @@ def train(texts: list[str], langs: list[str], *, epochs: int = 12, rate: float =
     return Model(labels, scores, bias.astype(np.float64), heat, limit)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+def learn(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model | None:
     """Trains on `docs` (doc_id, text, lang): about `sample` labelled rows of least hash outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    few = hashed_sample(rows, "doc_id", sample, rows.select("doc_id", "lang").count()).where(F.octet_length("text").between(1, sample_bytes))
-    got = sorted(few.collect(), key=lambda r: (r.doc_id, r.text, r.lang))
+    total = rows.select("doc_id", "lang").count()
+    short = F.substring("text", 1, sample_chars).alias("text")
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    few = hashed_sample(rows, ["doc_id", "text", "lang"], sample, total).select("doc_id", short, "lang").distinct()
+    got = few.collect()
+    if not got and total:  # a few rows, or one many times: those of least hash
+        got = rows.select("doc_id", short, "lang", F.xxhash64("doc_id", "text", "lang").alias("h")).distinct().orderBy("h", "doc_id").limit(sample).collect()
+    got.sort(key=lambda r: (r.doc_id, r.text, r.lang))
     return train([r.text for r in got], [r.lang for r in got]) if got else None
 
 
@@ -157,7 +165,7 @@ def language(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_pieces(batches, most=2 << 20):
+        for batch in small_pieces(batches):
             column = batch.column(1)
             known = [model is not None and bool(t and _LETTER.search(t)) for t in column.to_pylist()]
             p = model.probabilities(column) if model else np.zeros((batch.num_rows, 1))
@@ -169,4 +177,4 @@ def language(docs: DataFrame, model: Model | None) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return arrow_map(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")

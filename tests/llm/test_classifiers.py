@@ -66,3 +66,65 @@ def test_statistics_do_not_depend_on_the_batch():
     assert together.shape == (5, len(NAMES)) and np.isfinite(together).all()
     for i, t in enumerate(texts):
         assert np.allclose(statistics(pa.array([t], pa.string()))[0], together[i])
+
+
+def test_language_learns_from_long_and_repeated_rows(spark):
+    rng = random.Random(2)
+    long = [(i, prose(rng, lang, 4000), lang) for i, lang in enumerate(["en", "fr"] * 20)]
+    docs = spark.createDataFrame(long + [long[2]] * 3, "doc_id long, text string, lang string")
+    assert all(len(t.encode()) > 16_384 for _, t, _ in long)
+    got = {r.doc_id: r.lang_pred for r in language(docs, learn(docs)).collect()}
+    assert got == {i: lang for i, _, lang in long}
+    for one in (1, 2, 3, 4):
+        same = spark.createDataFrame([(one, prose(rng, lang, 30), lang) for lang in ["en", "fr"] * 30], "doc_id long, text string, lang string")
+        model = learn(same, sample=10)
+        assert zlib.crc32(str(one).encode()) % 5 == 0 or (model is not None and set(model.labels) <= {"en", "fr"})
+        again = spark.createDataFrame([(one, "the house of the water", "en")] * 50, "doc_id long, text string, lang string")
+        assert zlib.crc32(str(one).encode()) % 5 == 0 or learn(again, sample=5).labels == ["en"]
+
+
+def test_language_scores_against_plain_python(spark):
+    """The mean of the subwords' vectors, one subword at a time."""
+    rng = random.Random(5)
+    rows = [(i, prose(rng, lang, rng.randint(1, 30)), lang) for i in range(200) for lang in ["en", "fr", "de"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learn(docs)
+
+    def bucket(run):
+        h = len(run) * 40503
+        for b in run:
+            h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+        h ^= h >> 15
+        return (h * 0x2C1B3C6D & 0xFFFFFFFF) >> 19
+
+    texts = ["the house", "ÉTÉ à Paris", "straße", "ab", "x", rows[0][1]]
+    got = language(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r, t in zip(sorted(got), texts, strict=True):
+        raw = t.lower().encode()
+        runs = [raw[i : i + n] for n in (3, 4) for i in range(len(raw) - n + 1)]
+        logits = model.bias + (sum(model.scores[bucket(x)].astype(float) for x in runs) / len(runs) if runs else 0)
+        e = np.exp((logits - logits.max()) / model.temperature)
+        assert r.lang_pred == model.labels[int(np.argmax(e))] and abs(r.score - (e / e.sum()).max()) < 1e-6
+
+
+def test_quality_scores_against_plain_numpy(spark):
+    """Class moments and Gaussian log densities without Cholesky factors or map-side sums."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "en", rng.randint(5, 60)).capitalize() if i % 3 else "BUY!! " * rng.randint(3, 20)) for i in range(300)]
+    rows += [rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    got = sorted((r.doc_id, r.score) for r in quality(docs, marks).collect())
+    x = statistics(pa.array([t for _, t in rows]))
+    fit = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows])
+    label = np.array([int(i % 3 > 0) for i, _ in rows])
+    common = np.maximum(x[fit].var(axis=0), 1e-6)
+    logs = []
+    for c in (0, 1):
+        own = x[fit & (label == c)]
+        cov = np.cov(own.T, bias=True)
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 0.05 * np.diag(common)
+        d = x - own.mean(axis=0)
+        logs.append(np.log(len(own) / fit.sum()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    want = 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / 2, -60, 60)))
+    assert np.allclose([s for _, s in got], [s for _, s in sorted(zip([i for i, _ in rows], want, strict=True))], atol=1e-5)
