@@ -19,6 +19,7 @@ result; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -33,10 +34,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import shared_dir, small_pieces
+from codeloom.llm.common import arrow_map, shared_dir, small_pieces
 
 #: Entries of a worker's table of encoded words, which has an old half as large.
-TABLE = 250_000
+TABLE = 100_000
+#: Letters of a word beyond which a queue finds the next merge.
+LONG = 48
 END = "</w>"
 
 # Texts of these characters alone need no Unicode normalisation, and lower() agrees with the library's.
@@ -140,6 +143,8 @@ class Vocabulary:
         """The ids of one word in byte letters, by the exact merges."""
         part = [*letters[:-1], letters[-1] + END]
         get, none = self.rank.get, len(self.rank)
+        if len(part) > LONG:
+            return self._merge_long(part)
         ranks = [get(p, none) for p in zip(part, part[1:])]  # noqa: B905
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
@@ -158,6 +163,26 @@ class Vocabulary:
                     break
         return [self.ids[p] for p in part]
 
+    def _merge_long(self, part: list[str]) -> list[int]:
+        """The same merges with a queue of pairs (lowest rank first, then leftmost), O(n log n)."""
+        n, get = len(part), self.rank.get
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        queue = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := get((part[i], part[i + 1]))) is not None]
+        heapq.heapify(queue)
+        while queue:
+            _, i, a, b = heapq.heappop(queue)
+            j = right[i]
+            if j < 0 or part[i] != a or part[j] != b:
+                continue
+            part[i], part[j] = a + b, ""
+            right[j], right[i] = -1, right[j]
+            for x, y in ((left[i], i), (i, right[i])):
+                if x >= 0 and y >= 0:
+                    left[y] = x
+                    if (r := get((part[x], part[y]))) is not None:
+                        heapq.heappush(queue, (r, x, part[x], part[y]))
+        return [self.ids[p] for p in part if p]
+
     def lexicon(self, more: Iterable[str] = ()) -> np.ndarray:
         """The automaton of frequent words with their ids behind it: offsets, then ids, by the words' sorted place."""
         words = {t.removesuffix(END) for t in self.ids if t.endswith(END) and t != END}
@@ -268,4 +293,4 @@ def encode(docs: DataFrame, path: str, *, frequent: Iterable[str] = (), ids: boo
             yield pa.record_batch([batch.column(0), n, first, second, *([lists, decoded] if ids else [])], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, ddl)
+    return arrow_map(rows, run, ddl)

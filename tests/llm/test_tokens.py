@@ -11,7 +11,7 @@ from codeloom.llm.token_counts import token_counts
 PIECE, WORD = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "", " ", "  ", "a", " a", "a ", "a  b", "\n", "\n\n a\n b", "tab\there", "Hello, world! it's we'll '  's", "É Straße ŒUVRE œ", "日本語 テキスト 漢字", "emoji 😀😀 x", "áé NFC",
-    "<s> </s> <unk> <0x0A>", "<|endoftext|>", "x<|startoftext|>Y <|ENDOFTEXT|>", "ΣΑΣ İstanbul ǅ", "½ ² 12345 ٣", "▁▁ x▁y ▁", "\x00\x1c\x85\xa0z", "foo_bar __ --- ...", "a" * 3000, "ab " * 5000, "İ", "don't DON'T 'tis", "\r\n", "x​y", "한국어 각", "!!\n!!,,"]
+    "<s> </s> <unk> <0x0A>", "<|endoftext|>", "x<|startoftext|>Y <|ENDOFTEXT|>", "ΣΑΣ İstanbul ǅ", "½ ² 12345 ٣", "▁▁ x▁y ▁", "\x00\x1c\x85\xa0z", "foo_bar __ --- ...", "a" * 3000, "ab " * 5000, "İ", "don't DON'T 'tis", "\r\n", "x​y", "한국어 각", "!!\n!!,,", "".join(chr(97 + i * i % 26) for i in range(20_000)), "lorem" * 3000 + "é" * 500]
 
 
 def texts():
