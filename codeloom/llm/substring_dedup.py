@@ -5,7 +5,8 @@ at p and q therefore share an offset h < v with p+h and q+h both at cover places
 words at cover places only (6 of 31 here) loses no equal window. A run that two documents share is an anchor; each anchor
 is extended to all windows that hold it, and those windows are compared in full.
 
-Plan. Documents are dealt once into units of a few MB by a hash of doc_id (the exchange is reused by every later step).
+Plan. Rows are dealt once into units of a few MB by a hash of doc_id and text, so that neither null ids nor many texts under
+one id meet in a unit (the exchange is reused by every later step).
 A unit reports the distinct hashes it holds, packed into one binary value for each range of the hash space; a range
 compares the units' reports and answers each of them. A passage that a third of all documents hold costs one entry per
 unit and never meets in one task, nothing is joined row by row, and no pairs are made.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from codeloom.llm.common import text_buffer, text_size
+from codeloom.llm.common import bound_batches, free_memory, text_buffer, text_size
 from codeloom.llm.wordhash import row_bounds, run_hashes, word_hashes, words
 
 #: Perfect difference sets, modulus -> members.
@@ -39,6 +40,8 @@ _ANCHOR_BASE = 0xA0761D6478BD642F
 UNIT_BYTES = 4 << 20
 #: Hashes that one range of the hash space takes in.
 RANGE_HASHES = 1 << 20
+#: Hashes that a unit reports to one range at least, on average: more ranges would make rows of a hash or two.
+LEAST_HASHES = 16
 
 
 def period(window: int) -> int:
@@ -143,9 +146,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, *, unit_bytes: int = UNIT
     size, count = text_size(docs)
     unit_bytes = max(unit_bytes, min(64 << 20, size // 4000))
     n_units = max(1, -(-size // unit_bytes), count // 50_000)
-    anchor_bits = max(0, int(size / 6 * len(COVERS[period(window)]) / period(window) / RANGE_HASHES)).bit_length()
-    window_bits = max(0, int(size / 6 / RANGE_HASHES)).bit_length()
-    units = docs.withColumn("_unit", F.pmod(F.xxhash64("doc_id"), F.lit(n_units)).cast("long"))
+    share = len(COVERS[period(window)]) / period(window)
+    anchor_bits, window_bits = (min(int(size / 6 * part / RANGE_HASHES).bit_length(), int(unit_bytes / 6 * part / LEAST_HASHES).bit_length()) for part in (share, 1.0))
+    bound_batches(docs.sparkSession)
+    units = docs.withColumn("_unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_units)).cast("long"))
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         *_, rows, _, _, at, found = _read(table, window)
@@ -234,11 +238,21 @@ def substring_dedup(docs: DataFrame, window: int = 50, *, unit_bytes: int = UNIT
             rows_out[f"_carry{i}"] = left.column(f"_carry{i}").combine_chunks().cast(to_arrow_type(kind))
         return pa.table(rows_out, out_schema)
 
-    found = units.groupBy("_unit").applyInArrow(anchors, _REPORT_DDL)
-    answers = found.groupBy("_part").applyInArrow(shared, _ANSWER_DDL)
-    held = units.groupBy("_unit").cogroup(answers.groupBy("_unit")).applyInArrow(reports, _REPORT_DDL)
-    second = held.groupBy("_part").applyInArrow(earlier, _ANSWER_DDL)
-    out = units.groupBy("_unit").cogroup(answers.unionByName(second).groupBy("_unit")).applyInArrow(finish, ddl)
+    def lean(f):
+        """f, which gives memory back after each group."""
+
+        def run(*args):
+            out = f(*args)
+            free_memory()
+            return out
+
+        return (lambda key, table: run(key, table)) if f in (anchors, shared, earlier) else (lambda key, left, right: run(key, left, right))
+
+    found = units.groupBy("_unit").applyInArrow(lean(anchors), _REPORT_DDL)
+    answers = found.groupBy("_part").applyInArrow(lean(shared), _ANSWER_DDL)
+    held = units.groupBy("_unit").cogroup(answers.groupBy("_unit")).applyInArrow(lean(reports), _REPORT_DDL)
+    second = held.groupBy("_part").applyInArrow(lean(earlier), _ANSWER_DDL)
+    out = units.groupBy("_unit").cogroup(answers.unionByName(second).groupBy("_unit")).applyInArrow(lean(finish), ddl)
     return out.withColumnsRenamed({f"_carry{i}": c for i, c in enumerate(carry)})
 
 
