@@ -1,16 +1,16 @@
 """Mixing documents to target domain weights by soft membership. DataFrame functions only; no Python runs on executors.
 
 Method. A labelled table names the domain of some documents. On a bounded sample of it (about `SAMPLE` labels of least hash) a
-naive Bayes classifier is fitted: Gaussian densities of a few text statistics, and presence of the `VOCABULARY` words that
-tell domains apart best. Every document gets posteriors p_d over domains. Nonnegative rates r_d are then fitted so that
+softmax regression with a ridge is fitted on a few text statistics, their squares, and the words, hashed to `BUCKETS`
+features, of which all count whose log odds between a domain and the rest are `SIGNIFICANT` standard errors from 0. Every document gets posteriors p_d over domains. Nonnegative rates r_d are then fitted so that
 the expected tokens of each domain, sum of r_d * tokens_d * p_dk, match the targets, by projected gradient descent on
 
     1/2 e' W e  +  ridge/2 sum_d t_d / T (r_d - 1)^2,   r_d >= 0,   e_k = (sum_d r_d t_d p_dk) / T - target_k
 
 with t tokens and T their sum. The metric W is the inverse of sum t_d / T p_d p_d' over the documents whose rate is above
 0, which makes every direction of e equally steep; a step that does not come nearer is halved. The ridge keeps rates near 1.
-Unless a caller names targets, those of domains other than `KEPT` are never above the shares these domains have, the rest is
-KEPT's, and documents whose likeliest domain is KEPT have a rate of at least 1: mixing never drops them.
+A caller may name a domain to be `kept`: the others' targets are then never above the shares these domains have, the rest is
+that domain's, and documents whose likeliest domain it is have a rate of at least 1: mixing never drops them.
 
 Plan. One narrow pass over the texts writes a few numbers a document to the shared folder. A gradient needs the K domain
 residuals only, and a document's rate is a function of its posteriors and of the residuals so far, so each step is one
@@ -25,7 +25,6 @@ Repeated rows stay; extra columns are ignored; an empty table gives an empty res
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,9 +34,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import cut, hashed_sample
 
 SAMPLE = 4000
-VOCABULARY = 96
-TARGETS = {"clean": 0.95, "low": 0.02, "toxic": 0.03}
-KEPT = "clean"
+BUCKETS = 1 << 13
+SIGNIFICANT = 3.0
 STEPS, RIDGE, CLOSE = 25, 1e-3, 1e-4
 _MARKS = "!|#$%&*"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -50,16 +48,16 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain"))
 
 
-def _measured(docs: DataFrame) -> DataFrame:
-    """doc_id, words (distinct, lower case), tokens and the statistics."""
+def _measured(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, d (buckets of the words, distinct), tokens, the statistics and `carry`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), *carry)
     rows = rows.withColumn("w", F.split(F.translate("t", "\t\n\x0b\x0c\r", "     "), " "))
     rows = rows.withColumn("w", F.filter("w", lambda x: x != "")).withColumn("tokens", F.size("w").cast("long"))
-    rows = rows.withColumn("d", F.array_distinct("w"))
+    rows = rows.withColumn("d", F.array_distinct(F.transform("w", lambda x: F.pmod(F.xxhash64(F.lower(x)), F.lit(BUCKETS)).cast("int"))))
     n, length = F.greatest(F.col("tokens"), F.lit(1)), F.greatest(F.length("t"), F.lit(1))
     return rows.select(
-        "doc_id", "d", "tokens",
+        "doc_id", "d", "tokens", *carry,
         F.log1p("tokens").alias("log_words"),
         F.log1p(F.greatest((F.length("t") - F.col("tokens") + 1) / n, F.lit(0))).alias("word_length"),
         (F.log(F.size("d") + F.lit(10)) / F.log(n + F.lit(10))).alias("distinct"),
@@ -71,61 +69,82 @@ def _measured(docs: DataFrame) -> DataFrame:
 @dataclass
 class Classifier:
     domains: list[str]
-    prior: list[float]
-    mean: list[list[float]]
-    spread: list[list[float]]
-    words: dict[str, list[float]]  # log P(word | domain) - log P(absent | domain)
-    absent: list[float]  # sum of log P(absent | domain)
-
-    def posteriors(self) -> Column:
-        """array<double> over a row of _measured."""
-        k = len(self.domains)
-        logs = []
-        held = F.array_intersect(F.col("d"), F.array(*[F.lit(w) for w in self.words])) if self.words else F.array().cast("array<string>")
-        table = F.from_json(F.lit(json.dumps(self.words)), "map<string,array<double>>")
-        bonus = F.aggregate(held, F.array_repeat(F.lit(0.0), k), lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda x, y: x + y))
-        for c in range(k):
-            x = F.lit(math.log(self.prior[c]) + self.absent[c])
-            for i, name in enumerate(_STATS):
-                z = (F.col(name) - F.lit(self.mean[c][i])) / F.lit(self.spread[c][i])
-                x = x - F.least(z * z, F.lit(50.0)) / 2 - F.lit(math.log(self.spread[c][i]))
-            logs.append(x + F.get(F.col("bonus"), F.lit(c)))
-        self.bonus = bonus
-        return F.array(*logs)
-
-
-def learn(docs: DataFrame, domains: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Classifier | None:
+    mean: list[float]  # of each statistic
+    spread: list[float]
+    linear: list[list[float]]  # by domain and statistic
+    square: list[list[float]]
+    words: list[list[float]]  # by domain and bucket
+    bias: list[float]
+
+    def logs(self) -> Column:
+        """array<double>: the logits of the domains, over a row of _measured."""
+        z = [F.greatest(F.least((F.col(s) - F.lit(m)) / F.lit(w), F.lit(4.0)), F.lit(-4.0)) for s, m, w in zip(_STATS, self.mean, self.spread, strict=True)]
+        out = []
+        for c in range(len(self.domains)):
+            x = F.lit(self.bias[c])
+            for i, y in enumerate(z):
+                x = x + F.lit(self.linear[c][i]) * y + F.lit(self.square[c][i]) * y * y
+            out.append(x + _weighed(F.from_json(F.lit(json.dumps(self.words[c])), "array<double>")))
+        return F.array(*out)
+
+
+def _weighed(weights: Column) -> Column:
+    """The sum of a row's buckets' weights."""
+    return F.aggregate("d", F.lit(0.0), lambda total, at: total + F.get(weights, at))
+
+
+def learn(docs: DataFrame, domains: DataFrame, sample: int = SAMPLE) -> Classifier | None:
     """Fits on the documents of about `sample` labels (doc_id, domain) of least hash."""
     marked = domains.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     few = cut(hashed_sample(marked, "doc_id", sample, marked.count()), like="labels")
     rows = cut(_measured(docs.join(F.broadcast(few), "doc_id", "left_semi")).join(F.broadcast(few), "doc_id"), like="sample")  # `few` has about `sample` rows
-    stats = [F.avg(s).alias(f"m_{s}") for s in _STATS] + [F.stddev_pop(s).alias(f"s_{s}") for s in _STATS]
-    got = sorted(rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *stats).collect(), key=lambda r: r.domain)
-    if not got:
-        return None
-    names, total = [r.domain for r in got], sum(r.n for r in got)
-    counts = rows.select("domain", F.explode("d").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("domain") == d).alias(f"c{i}") for i, d in enumerate(names)])
-    gain: Column = F.lit(0.0)
-    for i, r in enumerate(got):
-        inside, outside = F.col(f"c{i}") + 0.5, F.col("n") - F.col(f"c{i}") + 0.5
-        ratio = F.log(inside / (r.n + 1)) - F.log(outside / (total - r.n + 1))
-        gain = F.greatest(gain, F.abs(ratio) * F.sqrt(F.least(inside, F.lit(400.0))))
-    best = counts.where("n >= 5").withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(vocabulary).collect()
-    words, absent = {}, [0.0] * len(names)
-    for w in best:
-        p = [(w[f"c{i}"] + 0.5) / (r.n + 1) for i, r in enumerate(got)]
-        words[w.word] = [math.log(x) - math.log(1 - x) for x in p]
-        absent = [a + math.log(1 - x) for a, x in zip(absent, p, strict=True)]
-    return Classifier(names, [r.n / total for r in got], [[r[f"m_{s}"] for s in _STATS] for r in got], [[max(r[f"s_{s}"], 0.05) for s in _STATS] for r in got], words, absent)
-
-
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, tokens, p (posteriors, in the order of model.domains)."""
-    logs = model.posteriors()
-    rows = _measured(docs).withColumn("bonus", model.bonus).select("doc_id", "tokens", logs.alias("z"))
+    got = rows.select("domain", "d", *_STATS).collect()  # about `sample` rows
+    return train([r.domain for r in got], [r.d for r in got], np.array([[r[s] for s in _STATS] for r in got])) if got else None
+
+
+def train(domains: list[str], buckets: list[list[int]], stats: np.ndarray, *, ridge: float = 2e-3, rounds: int = 400) -> Classifier:
+    """Softmax regression by accelerated gradient descent on the rows' statistics, squares and telling buckets."""
+    names = sorted(set(domains))
+    k, n = len(names), len(domains)
+    y = np.array([names.index(d) for d in domains])
+    at = np.concatenate([np.asarray(b, np.int64) for b in buckets])
+    row = np.repeat(np.arange(n), [len(b) for b in buckets])
+    have = np.zeros((k, BUCKETS))
+    np.add.at(have, (y[row], at), 1)
+    size = np.bincount(y, minlength=k)[:, None].astype(float)
+    inside, outside = have + 0.5, have.sum(axis=0) - have + 0.5
+    lacks, lacking = size - have + 0.5, (n - size) - (have.sum(axis=0) - have) + 0.5
+    odds = np.log(inside * lacking / (outside * lacks)) / np.sqrt(1 / inside + 1 / outside + 1 / lacks + 1 / lacking)
+    used = np.flatnonzero((np.abs(odds) >= SIGNIFICANT).any(axis=0))
+    mean, spread = stats.mean(axis=0), np.maximum(stats.std(axis=0), 0.05)
+    z = np.clip((stats - mean) / spread, -4, 4)
+    place = np.full(BUCKETS, -1)
+    place[used] = np.arange(len(used))
+    x = np.zeros((n, len(used) + 2 * stats.shape[1] + 1), np.float32)
+    x[row[place[at] >= 0], place[at][place[at] >= 0]] = 1
+    x[:, len(used) : -1], x[:, -1] = np.hstack([z, z * z]), 1
+    truth = np.eye(k, dtype=np.float32)[y]
+    top = 0.25 * float(np.linalg.norm(x, 2)) ** 2 / n + ridge
+    w = ahead = np.zeros((x.shape[1], k), np.float32)
+    for i in range(rounds):
+        p = x @ ahead
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        new = ahead - (x.T @ (p - truth) / n + ridge * ahead) / (2 * top)
+        ahead, w = new + i / (i + 3) * (new - w), new
+    words = np.zeros((k, BUCKETS))
+    words[:, used] = w[: len(used)].T
+    mine = w[len(used) : -1].T.astype(float)
+    d = stats.shape[1]
+    return Classifier(names, mean.tolist(), spread.tolist(), mine[:, :d].tolist(), mine[:, d:].tolist(), words.round(6).tolist(), w[-1].astype(float).tolist())
+
+
+def memberships(docs: DataFrame, model: Classifier, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, tokens, p (posteriors, in the order of model.domains) and `carry`."""
+    rows = _measured(docs, carry).select("doc_id", "tokens", *carry, model.logs().alias("z"))
     e = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
-    rows = rows.select("doc_id", "tokens", e.alias("e"))
-    return rows.select("doc_id", "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+    rows = rows.select("doc_id", "tokens", *carry, e.alias("e"))
+    return rows.select("doc_id", "tokens", *carry, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
 def _rate(history: list[list[float]], ridge: float, floor: Column) -> Column:
@@ -187,15 +206,15 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     return members.withColumn("rate", _rate(history, ridge, floor))
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, tokens, posteriors map<domain, double>, rate."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], *, kept: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, tokens, posteriors map<domain, double>, rate; columns in `carry` come along."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     model = learn(docs, domains)
     if model is None:
-        return _measured(docs).select("doc_id", "tokens", F.lit(None).cast("map<string,double>").alias("posteriors"), F.lit(1.0).alias("rate"))
-    members = cut(memberships(docs, model), like="members")
-    rated = fit_rates(members, model.domains, targets or TARGETS, kept=None if targets else KEPT)
-    return rated.select("doc_id", "tokens", F.map_from_arrays(F.array(*map(F.lit, model.domains)), "p").alias("posteriors"), "rate")
+        return _measured(docs, carry).select("doc_id", "tokens", *carry, F.lit(None).cast("map<string,double>").alias("posteriors"), F.lit(1.0).alias("rate"))
+    members = cut(memberships(docs, model, carry), like="members")
+    rated = fit_rates(members, model.domains, targets, kept=kept)
+    return rated.select("doc_id", "tokens", *carry, F.map_from_arrays(F.array(*map(F.lit, model.domains)), "p").alias("posteriors"), "rate")
 
 
 def copies(rate: Column, key: Column) -> Column:

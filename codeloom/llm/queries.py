@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.llm import oracles
 from codeloom.llm.bpe import encode
 from codeloom.llm.common import table
 from codeloom.llm.embedding_dedup import near_vectors
@@ -37,7 +38,8 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")))
+    """Half of the tokens clean, a quarter each low and toxic, as a classifier's training set would want them."""
+    return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), {"clean": 0.5, "low": 0.25, "toxic": 0.25})
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k.lower(): sql for k, sql in vars(oracles).items() if k.startswith("OP")}

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+
 import pytest
 
 from codeloom.llm.licenses import STEMS, TEMPLATES, scan, train, vocabulary
-from codeloom.llm.mixing import copies, fit_rates, label_domains, mix
+from codeloom.llm.mixing import _STATS, _measured, copies, fit_rates, label_domains, learn, memberships, mix
 from pyspark.sql import functions as F
 
 
@@ -113,7 +115,8 @@ def test_mix(spark):
     rows += [(1000, None), (1001, ""), (None, "river"), (1002, "river " * 60_000)]
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, rate double")
     marks = spark.createDataFrame([*labels, (None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
-    df = mix(docs, label_domains(marks))
+    targets = {"clean": 0.6, "low": 0.2, "toxic": 0.2}
+    df = mix(docs, label_domains(marks), targets)
     assert no_python(df)
     got = df.collect()
     assert len(got) == len(rows) and all(r.rate >= 0 and sum(r.posteriors.values()) == pytest.approx(1) for r in got)
@@ -121,10 +124,29 @@ def test_mix(spark):
     right = [max(r.posteriors, key=r.posteriors.get) == truth[r.doc_id] for r in got if r.doc_id in truth]
     assert sum(right) > 0.95 * len(right)
     total = sum(r.tokens for r in got)
-    for d, share in {"clean": 0.95, "low": 0.02, "toxic": 0.03}.items():
+    for d, share in targets.items():
         assert sum(r.rate * r.tokens * r.posteriors[d] for r in got) / total == pytest.approx(share, abs=0.004)
-    assert mix(docs.limit(0), label_domains(marks)).count() == 0
-    assert {r.rate for r in mix(docs, label_domains(marks.limit(0))).collect()} == {1.0}
+    assert mix(docs.limit(0), label_domains(marks), targets).count() == 0
+    assert {r.rate for r in mix(docs, label_domains(marks.limit(0)), targets).collect()} == {1.0}
+
+
+def test_posteriors_against_plain_python(spark):
+    """The fitted regression, applied word by word; ties, repeated rows and contradicting labels."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["river", "Stone", "the", "scum" if i % 4 == 0 else "tree"]) for _ in range(rng.randint(0, 40)))) for i in range(200)]
+    rows += [rows[3], rows[3], (3, "another text"), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, "toxic" if i % 4 == 0 else "clean") for i in range(200)] + [(4, "clean")], "doc_id long, domain string")
+    model = learn(docs, marks)
+    measured = _measured(docs).collect()
+    got = memberships(docs, model).collect()
+    assert len(got) == len(rows) == len(measured) and model.domains == ["clean", "toxic"]
+    mean, spread, linear, square, words = (np.array(v) for v in (model.mean, model.spread, model.linear, model.square, model.words))
+    for r, m in zip(got, measured, strict=True):
+        z = np.clip((np.array([m[s] for s in _STATS]) - mean) / spread, -4, 4)
+        logits = np.array(model.bias) + linear @ z + square @ (z * z) + words[:, m.d].sum(axis=1)
+        e = np.exp(logits - logits.max())
+        assert r.doc_id == m.doc_id and np.allclose(r.p, e / e.sum(), atol=1e-9)
 
 
 def test_copies(spark):

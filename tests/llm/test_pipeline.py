@@ -59,7 +59,7 @@ def test_each_stage_against_brute_force(spark, folder):
     assert any(want[d] != " ".join((texts[d] or "").split()) for d in want) and all(r.n_chars == len(r.text) for r in got.values() if r.text)
 
     mixed = cp.cut(cp.reweigh(spark, cleaned, folder))
-    rates = {r.doc_id: r.n for r in mix(cleaned, label_domains(labels)).select("doc_id", copies(F.col("rate"), F.col("doc_id")).alias("n")).collect()}
+    rates = {r.doc_id: r.n for r in mix(cleaned, label_domains(labels), cp.TARGETS, kept="clean").select("doc_id", copies(F.col("rate"), F.col("doc_id")).alias("n")).collect()}
     count = {}
     for r in mixed.collect():
         count[r.doc_id] = count.get(r.doc_id, 0) + 1
@@ -99,3 +99,20 @@ def test_mixing_keeps_every_clean_document_of_a_cleaner_corpus(spark, tmp_path):
         count[r.doc_id] += 1
     assert all(count[i] >= 1 for i in range(980))
     assert sum(count[i] for i in range(980, 1000)) <= 24
+
+
+def test_texts_under_one_id_clashing_names_long_and_repeated_rows(spark, folder):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioust") for _ in range(6))
+    a, b = (" ".join(word() for _ in range(80)) for _ in range(2))
+    long = " ".join(word() for _ in range(60_000))
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, long), (8, long), (9, None), (None, b)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, "x", "y", "z") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _copy string, _copies string, _text_key string")
+    one = cp.cut(cp.deduplicate(spark, docs, folder))
+    assert one.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in one.where("doc_id is not null").collect()) == [(1, a), (5, b), (7, long), (9, "")]
+    mixed = cp.reweigh(spark, one.where("doc_id is not null"), folder)
+    assert mixed.columns == docs.columns and {(r._copy, r._copies, r._text_key) for r in mixed.collect()} <= {("x", "y", "z")}
+    kept = cp.classify(spark, docs, folder)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 0
+    assert cp.strip_passages(spark, one, folder).columns == docs.columns
