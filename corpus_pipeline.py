@@ -1,8 +1,9 @@
 """The corpus pipeline: each stage works on all that the one before it kept, through one operator of the llm package.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between
-stages the rows are written as Parquet and read again. Defined results: rows without doc_id leave in the first stage, rows
-that repeat stay repeated until mixing, which gives each its rate; null texts count as empty; empty tables stay empty.
+stages the rows are written as Parquet and read again. A row is told by its doc_id and its text, which operators carry
+along: several texts under one doc_id are judged each for itself. Defined results: rows without doc_id leave in the first
+stage, rows that repeat (doc_id and text) are one from near-dedup on; null texts count as empty; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -12,26 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.bpe import encode
-from codeloom.llm.common import cut, table
+from codeloom.llm.common import cut, fresh, row_key, table
 from codeloom.llm.mixing import copies, label_domains, mix
 from codeloom.llm.near_dedup import near_duplicates
 from codeloom.llm.quality import quality
 from codeloom.llm.substring_dedup import substring_dedup
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is in `ids`, with docs' own columns."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+#: Shares of tokens that mixing aims at; those of low and toxic documents are never above what there is.
+TARGETS = {"clean": 0.95, "low": 0.02, "toxic": 0.03}
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a key of the text, and that column's name."""
+    key = fresh(docs, "_text_key")
+    return docs.withColumn(key, row_key(F.col("text"))), key
+
+
+def _kept(docs: DataFrame, keyed: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """The rows of `keyed` that `kept` (doc_id, key) names, with docs' own columns."""
+    return keyed.join(kept.select("doc_id", key).distinct(), ["doc_id", key], "left_semi").select(*docs.columns)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return _kept(docs, quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    keyed, key = _keyed(docs)
+    return _kept(docs, keyed, quality(keyed, table(spark, sf_dir, "labels"), carry=(key,)).where("predicted = 1"), key)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the least doc_id."""
-    return _kept(docs, near_duplicates(docs).where("kept"))
+    """One row of each group of near-duplicates: the least doc_id, and of its texts in the group the one of least key."""
+    keyed, key = _keyed(docs)
+    found = near_duplicates(keyed, carry=(key,)).where("kept")
+    one = found.groupBy("doc_id").agg(F.min(key).alias(key))
+    rows = keyed.dropDuplicates(["doc_id", key])
+    return _kept(docs, rows, one, key)
 
 
 def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +59,12 @@ def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def reweigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say: domains that are short of their target repeat, others thin out."""
-    rates = mix(docs, label_domains(table(spark, sf_dir, "labels"))).select("doc_id", copies(F.col("rate"), F.col("doc_id")).alias("_copies")).groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    taken = docs.join(rates.where("_copies > 0"), "doc_id")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    keyed, key = _keyed(docs)
+    times, place = fresh(keyed, "_copies"), fresh(keyed, "_copy")
+    rates = mix(keyed, label_domains(table(spark, sf_dir, "labels")), TARGETS, kept="clean", carry=(key,))
+    rates = rates.select("doc_id", key, copies(F.col("rate"), F.col("doc_id")).alias(times)).groupBy("doc_id", key).agg(F.max(times).alias(times))
+    taken = keyed.join(rates.where(F.col(times) > 0), ["doc_id", key])
+    return taken.withColumn(place, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
