@@ -69,14 +69,14 @@ def enclosing(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     block = 64
     ends = F.coalesce("end_line", F.lit(1 << 30))
-    last = symbols.groupBy("path").agg(F.max("line").alias("_m")).join(refs.groupBy("path").agg(F.max("line").alias("_r")), "path").select("path", F.greatest("_m", "_r").alias("_last"))
+    sites = refs.select("path", "line").distinct()
+    last = sites.groupBy("path").agg(F.max("line").alias("_last"))  # later blocks hold no site
     spans = symbols.join(last, "path").select("path", F.col("name").alias("owner"), F.col("line").alias("owner_line"), F.least(ends, F.col("_last")).alias("_end"), "ordinal")
     spans = spans.where("_end >= owner_line").withColumn("_block", F.explode(F.sequence(F.floor(F.col("owner_line") / block), F.floor(F.col("_end") / block))))
-    sites = refs.withColumn("_block", F.floor(F.col("line") / block))
-    keys = refs.columns
-    best = sites.select(*keys, "_block").distinct().alias("s").join(spans.alias("p"), (F.col("s.path") == F.col("p.path")) & (F.col("s._block") == F.col("p._block")) & F.col("s.line").between(F.col("p.owner_line"), F.col("p._end")))
-    best = best.groupBy(*[F.col(f"s.{k}") for k in keys]).agg(F.max_by("p.owner", F.struct(F.col("p.owner_line"), -F.col("p.ordinal"))).alias("owner"), F.max("p.owner_line").alias("owner_line"))
-    return refs.join(best, keys, "left")
+    held = sites.withColumn("_block", F.floor(F.col("line") / block)).join(spans, ["path", "_block"]).where(F.col("line").between(F.col("owner_line"), F.col("_end")))
+    best = held.groupBy("path", "line").agg(F.max("owner_line").alias("owner_line"))
+    named = symbols.groupBy("path", F.col("line").alias("owner_line")).agg(F.min_by("name", "ordinal").alias("owner"))
+    return refs.join(best.join(named, ["path", "owner_line"]).select("path", "line", "owner", "owner_line"), ["path", "line"], "left").select(*refs.columns, "owner", "owner_line")
 
 
 def references_to(symbols: DataFrame, refs: DataFrame) -> DataFrame:

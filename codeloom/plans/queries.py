@@ -196,7 +196,8 @@ def explain_file(spark, sf_dir):
 @query(f"WITH {WORDS} SELECT owner, CAST(owner_line AS BIGINT) AS owner_line, path, CAST(count(*) AS BIGINT) AS n FROM (SELECT r.path, (SELECT max(s.line) FROM symbols s WHERE s.path = r.path AND r.line >= s.line AND r.line <= coalesce(s.end_line, 1073741824)) AS owner_line FROM refs r) r LEFT JOIN (SELECT path, line AS owner_line, name AS owner FROM symbols) USING (path, owner_line) GROUP BY ALL")
 def enclosing_symbols(spark, sf_dir):
     s, r, _ = _facts(spark, sf_dir)
-    return refs.enclosing(r, s).groupBy("owner", F.col("owner_line").cast("long").alias("owner_line"), "path").agg(F.count(F.lit(1)).alias("n"))
+    lines = graph.cut(r.groupBy("path", "line").agg(F.count(F.lit(1)).alias("n")))
+    return refs.enclosing(lines, graph.cut(s)).groupBy("owner", F.col("owner_line").cast("long").alias("owner_line"), "path").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {WORDS} SELECT s.path, s.name, CAST(s.line AS BIGINT) AS line, CAST(count(r.line) AS BIGINT) AS sites FROM symbols s LEFT JOIN refs r ON r.name = s.name AND NOT (r.path = s.path AND r.line BETWEEN s.line AND coalesce(s.end_line, 1073741824)) GROUP BY ALL")
