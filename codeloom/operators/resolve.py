@@ -26,10 +26,18 @@ def candidates(uses: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataF
 
 
 def resolve(uses: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """path, name, tier, targets (number of candidates in the deciding tier) of each use that some file defines."""
-    by_tier = candidates(uses, symbols, imports).groupBy("path", "name", "tier_rank").agg(F.count(F.lit(1)).alias("n"))
-    best = by_tier.groupBy("path", "name").agg(F.min(F.struct("tier_rank", "n")).alias("b"))
-    return best.select("path", "name", F.element_at(F.array(*map(F.lit, TIERS)), F.col("b.tier_rank") + 1).alias("tier"), F.col("b.n").alias("targets"))
+    """path, name, tier, targets (number of candidates in the deciding tier) of each use that some file defines.
+
+    Counts only: equality joins for the own file and for what imports show, and a count by name for the rest.
+    """
+    defs = symbols.select("name", F.col("path").alias("target")).distinct()
+    n = defs.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    own = defs.select("name", F.col("target").alias("path"), F.lit(True).alias("own"))
+    seen = imports.select(F.col("src").alias("path"), F.col("dst").alias("target")).distinct().join(defs, "target").groupBy("path", "name").agg(F.count(F.lit(1)).alias("seen"))
+    rows = uses.select("path", "name").distinct().join(n, "name").join(own, ["path", "name"], "left").join(seen, ["path", "name"], "left")
+    rank = F.when(F.col("own"), 1).when(F.col("seen") > 0, 2).when(F.col("n") == 1, 3).otherwise(4)
+    targets = F.when(F.col("own"), F.lit(1).cast("long")).otherwise(F.coalesce("seen", "n"))
+    return rows.select("path", "name", F.element_at(F.array(*map(F.lit, TIERS)), rank).alias("tier"), targets.alias("targets"))
 
 
 def symbol_edges(uses: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
