@@ -74,8 +74,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     """node, rank. Personalised to `seeds` (node, weight) if any of them is a node, else uniform.
 
     Starts uniform; the rank of nodes without out-weight goes back to the personalisation. With `epsilon` the loop ends
-    when the sum of changes falls below it, checked every `every` rounds; without, exactly `iterations` rounds run with
-    no action between them. Graphs of at most `small` nodes and edges together, which are counted, run in one task.
+    when the sum of changes falls below it, checked every round; without, exactly `iterations` rounds run, their lineage
+    cut every `every` rounds. Graphs of at most `small` nodes and edges together, which are counted, run in one task.
     """
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
     base = nodes.select("node").distinct().join(F.broadcast(n))  # one row
@@ -98,7 +98,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
         lost = rank.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         new = base.join(moved, F.col("node") == F.col("dst"), "left").join(F.broadcast(lost))  # one row
         new = new.select("node", ((1 - damping) * F.col("jump") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("jump"))).alias("rank"))
-        if i % every == every - 1:
+        if epsilon is not None or i % every == every - 1:
             new = cut(new)
             if epsilon is not None:
                 gap = new.alias("a").join(rank.alias("b"), "node").agg(F.sum(F.abs(F.col("a.rank") - F.col("b.rank")))).first()[0]
@@ -336,15 +336,15 @@ def community_labels(membership: DataFrame) -> DataFrame:
     return sizes.join(best, "community", "left").select("community", F.col("n").alias("members"), F.coalesce("b.prefix", F.lit("repository root")).alias("label"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, max_passes: int = 50, max_nodes: int = 200_000) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, max_passes: int = 50, max_nodes: int = 200_000, max_edges: int = 2_000_000) -> DataFrame:
     """node, community by one level of greedy local moves in node order; a community is named by its least node.
 
-    Each move depends on the one before, so this is one task's work by nature; graphs of more than `max_nodes` nodes are
-    refused rather than gathered. Strict improvements above 1e-12 only, so the result does not depend on row order.
+    Each move depends on the one before, so this is one task's work by nature; graphs of more than `max_nodes` nodes or
+    `max_edges` edges are refused rather than gathered. Strict improvements above 1e-12 only, so the result does not depend on row order.
     """
     both = cut(symmetrise(edges))
-    if both.select("a").distinct().count() > max_nodes:
-        raise ValueError(f"greedy moves are sequential; at most {max_nodes} nodes")
+    if both.select("a").distinct().count() > max_nodes or both.count() > 2 * max_edges:
+        raise ValueError(f"greedy moves are sequential; at most {max_nodes} nodes and {max_edges} edges")
 
     def run(pdf):
         import pandas as pd
