@@ -36,7 +36,6 @@ def fair_shares(rows: DataFrame, partition: list[str], key: str, cost: str, budg
     rows = rows.withColumn("_share", F.floor((F.lit(budget) - before) / left)).withColumn("_fits", F.col(cost) <= F.col("_share"))
     all_before = F.min(F.col("_fits").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("_full", all_before == 1)
-    first = F.min(F.when(~F.col("_full"), F.col("_share"))).over(W.partitionBy(*partition))
     first = F.min_by("_share", F.when(~F.col("_full"), F.struct(F.col(cost), F.col(key)))).over(W.partitionBy(*partition))
     return rows.withColumn("granted", F.when(F.col("_full"), F.col(cost)).otherwise(F.greatest(first, F.lit(0)))).drop("_share", "_fits", "_full")
 
