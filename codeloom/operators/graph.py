@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.operators.packing import first_members
 from codeloom.operators.refs import name_index, occurrence_counts, reference_weight
 from codeloom.plans.lineage import cut
 
@@ -388,3 +389,23 @@ def drawn(edges: DataFrame, ranks: DataFrame, max_nodes: int = 200, max_edges: i
     kept = edges.join(best.withColumnRenamed("node", "src"), "src", "left_semi").join(best.withColumnRenamed("node", "dst"), "dst", "left_semi")
     first = kept.orderBy("kind", F.desc("weight"), "src", "dst").limit(max_edges)
     return first.select("src", "dst", "kind", "weight", F.row_number().over(W.orderBy("kind", F.desc("weight"), "src", "dst")).alias("ord"))
+
+
+def listed_cycles(components: DataFrame, limit: int = 20) -> DataFrame:
+    """place, length, files of the first `limit` cycles (node, component), the shortest first, then by their least file."""
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("first"))
+    best = sizes.orderBy("length", "first").limit(limit)
+    rows = components.join(F.broadcast(best), "component")  # `limit` rows
+    listed = rows.groupBy("component", "length", "first").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("files"))
+    return listed.withColumn("place", F.row_number().over(W.orderBy("length", "first"))).select("place", "length", "files")
+
+
+def listed_communities(members: DataFrame, shown: int = 12, limit: int = 20) -> DataFrame:
+    """place, community, size, members: the first `limit` communities (node, community), the largest first, then by their
+    least member; each with its first `shown` members."""
+    sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"))
+    best = sizes.orderBy(F.desc("size"), "first").limit(limit)
+    near = first_members(members.join(F.broadcast(best.select("community")), "community", "left_semi"), "community", "node", shown)  # `limit` rows
+    text = near.groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"))
+    placed = best.withColumn("place", F.row_number().over(W.orderBy(F.desc("size"), "first")))
+    return placed.join(text, "community").select("place", "community", "size", "members")

@@ -45,3 +45,18 @@ def equivalence_key(changes: DataFrame) -> DataFrame:
     """candidate, key: sha256 over the sorted `path NUL key LF` of a candidate's changed files (candidate, path, key)."""
     row = F.concat("path", F.lit("\0"), "key", F.lit("\n"))
     return changes.groupBy("candidate").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("key"))
+
+
+def apply(planned: DataFrame, stored: DataFrame, extracted: DataFrame) -> DataFrame:
+    """The next generation's facts: stored rows of reused paths and the extracted rows of new and changed ones; the rest goes."""
+    kept = stored.join(planned.where("status = 'reuse'").select("path"), "path", "left_semi")
+    new = extracted.join(planned.where("status in ('extract_new', 'extract_changed')").select("path"), "path", "left_semi")
+    return kept.select(*stored.columns).unionByName(new.select(*stored.columns))
+
+
+def drift(rendered: DataFrame, stored: DataFrame) -> DataFrame:
+    """path, line, now, before: the first line in which two texts of a path (path, text) differ; a text's end shows as null."""
+    lines = lambda df, c: df.select("path", F.posexplode(F.split("text", "\n", -1)).alias("_at", c))
+    both = lines(rendered, "now").join(lines(stored, "before"), ["path", "_at"], "full_outer").where(~F.col("now").eqNullSafe(F.col("before")))
+    first = both.groupBy("path").agg(F.min(F.struct((F.col("_at") + 1).cast("long").alias("line"), "now", "before")).alias("d"))
+    return first.select("path", "d.*")

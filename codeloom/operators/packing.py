@@ -93,3 +93,37 @@ def in_tests(path: Column) -> Column:
 def line_count(text: Column) -> Column:
     """Lines; a last line feed ends a line and begins none."""
     return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when(text.endswith("\n"), 0).otherwise(1))
+
+
+def regroup(packed: DataFrame, partition: list[str]) -> DataFrame:
+    """partition columns, shown, omitted of packed rows (`included`): a group that lost all its rows stays with its count."""
+    return packed.groupBy(*partition).agg(F.count_if("included").alias("shown"), F.count_if(~F.col("included")).alias("omitted"))
+
+
+def sticky_headers(slices: DataFrame, scopes: DataFrame) -> DataFrame:
+    """path, start, header: lines of scopes to repeat above the slice that begins within them, each above its first such slice.
+
+    `slices` has path, start; `scopes` path, line, end_line (null: open). As in refs.enclosing, spans are cut in blocks, and
+    the range join is an equality on them.
+    """
+    block = 64
+    starts = slices.select("path", "start").distinct()
+    last = starts.groupBy("path").agg(F.max("start").alias("_last"))
+    spans = scopes.join(last, "path").select("path", F.col("line").alias("header"), F.least(F.coalesce("end_line", F.col("_last")), F.col("_last")).alias("_end"))
+    spans = spans.where("_end > header").withColumn("_block", F.explode(F.sequence(F.floor(F.col("header") / block), F.floor(F.col("_end") / block))))
+    held = starts.withColumn("_block", F.floor(F.col("start") / block)).join(spans, ["path", "_block"]).where("header < start and start <= _end")
+    return held.groupBy("path", "header").agg(F.min("start").alias("start")).select("path", "start", "header")
+
+
+def first_members(members: DataFrame, group: str, member: str, shown: int, parts: int = 64) -> DataFrame:
+    """group, member, place: the first `shown` members of each group in their order, by parts first, so that a group that
+    holds much of the table is not sorted in one task."""
+    part = F.pmod(F.hash(member), F.lit(parts))
+    near = members.select(group, member).withColumn("_r", F.row_number().over(W.partitionBy(group, part).orderBy(member))).where(F.col("_r") <= shown)
+    return near.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(member))).where(F.col("place") <= shown).select(group, member, "place")
+
+
+def label_ordinals(rows: DataFrame, label: str, order: list[Column | str]) -> DataFrame:
+    """rows with `title`: the label, and from its second row on its number."""
+    n = F.row_number().over(W.partitionBy(label).orderBy(*order))
+    return rows.withColumn("title", F.when(n == 1, F.col(label)).otherwise(F.concat(F.col(label), F.lit(" "), n.cast("string"))))

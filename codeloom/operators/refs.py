@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.operators.packing import in_tests
+
 
 def occurrence_counts(refs: DataFrame) -> DataFrame:
     """path, name, n."""
@@ -51,12 +53,17 @@ def parse_id(id_: Column) -> tuple[Column, Column, Column]:
     return path, F.regexp_replace(rest, "#[0-9]+$", ""), F.when(ordinal == "", F.lit(0)).otherwise(ordinal.try_cast("int"))
 
 
-def find(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """The `limit` best matches: exact, then prefix, then substring; then by name, path, line. `total` counts all matches."""
+def find(symbols: DataFrame, query: str, limit: int = 20, kind: str | None = None) -> DataFrame:
+    """The `limit` best matches: exact name, exact qualified name, prefix, substring; then by name, path, line. `total` counts all.
+
+    A qualified name is looked at if symbols have `qualname`; `kind` keeps symbols of that kind.
+    """
     needle = query.lower()
     low = F.lower("name")
-    rank = F.when(low == needle, 0).when(low.startswith(needle), 2).otherwise(3)
-    hits = symbols.where(F.contains(low, F.lit(needle))).select(rank.alias("rank"), "name", "path", "line")
+    full = F.lower("qualname") if "qualname" in symbols.columns else low
+    rank = F.when(low == needle, 0).when(full == needle, 1).when(low.startswith(needle), 2).otherwise(3)
+    rows = symbols if kind is None else symbols.where(F.col("kind") == kind)
+    hits = rows.where(F.contains(low, F.lit(needle)) | F.contains(full, F.lit(needle))).select(rank.alias("rank"), "name", "path", "line")
     total = hits.agg(F.count(F.lit(1)).alias("total"))
     return hits.orderBy("rank", "name", "path", "line").limit(limit).join(F.broadcast(total))  # one row
 
@@ -122,6 +129,28 @@ def shared_callers(symbols: DataFrame, refs: DataFrame, target: str, noisy: Data
     return out.select(F.col("name").alias("candidate"), F.round(score, 6).alias("score"), "files", "callers")
 
 
+def order_shared(rows: DataFrame, symbols: DataFrame, limit: int = 20) -> DataFrame:
+    """The first `limit` shared callers with `id` and `in_tests`: names defined outside tests first, then by score, files, id."""
+    # one row for each name: its first definition outside tests, else its first
+    named = symbols.select(F.col("name").alias("candidate"), in_tests(F.col("path")).alias("in_tests"), stable_id().alias("id"))
+    first = named.groupBy("candidate").agg(F.min(F.struct("in_tests", "id")).alias("d")).select("candidate", "d.*")
+    best = rows.join(first, "candidate").orderBy("in_tests", F.desc("score"), F.desc("files"), "id").limit(limit)
+    return best.withColumn("place", F.row_number().over(W.orderBy("in_tests", F.desc("score"), F.desc("files"), "id")))  # `limit` rows
+
+
+def body_keys(symbols: DataFrame, files: DataFrame, least: int = 12) -> DataFrame:
+    """symbols with `body_key`: of the lines below the declaration, white space aside; null for fewer than `least` words.
+
+    For languages without a token stream. The declaration's own line does not count, so a renamed copy has the same key.
+    """
+    lines = files.select("path", F.split("text", "\n", -1).alias("_lines"))
+    size = F.least(F.coalesce("end_line", F.size("_lines")), F.size("_lines")) - F.col("line")
+    body = F.array_join(F.slice("_lines", F.col("line") + 1, F.greatest(size, F.lit(0))), "\n")
+    stream = F.trim(F.regexp_replace(body, "[ \\t\\n\\x0B\\f\\r]+", " "))
+    key = F.when((F.col("_stream") != "") & (F.size(F.split("_stream", " ")) >= least), F.sha2("_stream", 256))
+    return symbols.join(lines, "path").withColumn("_stream", stream).withColumn("body_key", key).select(*symbols.columns, "body_key")
+
+
 def near_names(wanted: DataFrame, known: DataFrame, most: int = 2, top: int = 3) -> DataFrame:
     """name, near, distance: the `top` known names within `most` edits (at most 2) of each wanted name, least distance first.
 

@@ -95,3 +95,25 @@ def json_envelope(receipt: Mapping, payload: Mapping, items: str, most: int = MA
             break
         kept.append(x)
     return json.dumps({"receipt": receipt, **payload, items: kept, "truncated": len(kept) < len(payload.get(items, []))}, sort_keys=True)
+
+
+def receipt(repository: str, head: str = "", tree: str = "", dirty: bool | None = None, cache: str = "", note: str = "") -> dict:
+    """What a result was made from, for both kinds of envelope: the same keys in the same order, without those that say nothing."""
+    state = {None: "", True: "yes", False: "no"}[dirty]
+    return {k: v for k, v in (("repository", repository), ("head", head), ("tree", tree), ("dirty", state), ("cache", cache), ("note", note)) if v}
+
+
+def first_difference(rendered: str, stored: str) -> tuple[int, str | None, str | None] | None:
+    """Line number and both lines where a drawing differs from the stored one, None if it does not; a fence around it does not count."""
+
+    def bare(text: str) -> list[str]:
+        lines = text.strip("\n").split("\n")
+        fenced = len(lines) >= 2 and lines[0].startswith("```") and lines[-1].strip() == "```"
+        return lines[1:-1] if fenced else lines
+
+    now, before = bare(rendered), bare(stored)
+    for i in range(max(len(now), len(before))):
+        a, b = (x[i] if i < len(x) else None for x in (now, before))
+        if a != b:
+            return i + 1, a, b
+    return None

@@ -81,3 +81,55 @@ def import_targets(statements: DataFrame, paths: DataFrame, suffixes: tuple[str,
     loose = wide.join(tails, "tail").groupBy("importer", "module", "level").agg(F.min(F.struct(F.length("path").alias("n"), F.col("path"))).alias("l"))
     out = rows.join(first, ["importer", "module", "level"], "left").join(loose, ["importer", "module", "level"], "left")
     return out.select("importer", "module", "level", F.coalesce("exact", "l.path").alias("target")).where("target is not null and target <> importer")
+
+
+def imported_submodules(statements: DataFrame, paths: DataFrame, **how) -> DataFrame:
+    """importer, module, level, name, target: the names of `from module import name` that are modules themselves."""
+    each = statements.select("importer", "module", "level", F.explode("names").alias("name")).distinct()
+    probe = each.withColumn("_dotted", F.when(F.col("module") == "", F.col("name")).otherwise(F.concat("module", F.lit("."), "name")))
+    found = import_targets(probe.select("importer", F.col("_dotted").alias("module"), "level"), paths, **how)
+    return probe.join(found.withColumnRenamed("module", "_dotted"), ["importer", "_dotted", "level"]).select("importer", "module", "level", "name", "target")
+
+
+def import_scopes(statements: DataFrame, paths: DataFrame, **how) -> DataFrame:
+    """path, binding, kind, target: what a file's imports make known. kind `module` is a name bound to a file (a module
+    imported whole by its last part, or a submodule); kind `file` is a file that a statement names, binding its dotted name."""
+    whole = import_targets(statements, paths, **how)
+    subs = imported_submodules(statements, paths, **how)
+    bare = statements.where(F.size("names") <= 0).select("importer", "module", "level").distinct()
+    modules = whole.join(bare, ["importer", "module", "level"], "left_semi").select("importer", F.substring_index("module", ".", -1).alias("binding"), "target")
+    modules = modules.unionByName(subs.select("importer", F.col("name").alias("binding"), "target")).withColumn("kind", F.lit("module"))
+    named = whole.select("importer", F.col("module").alias("binding"), "target").withColumn("kind", F.lit("file"))
+    return modules.unionByName(named).select(F.col("importer").alias("path"), "binding", "kind", "target").distinct()
+
+
+def module_attributes(uses: DataFrame, bindings: DataFrame, symbols: DataFrame) -> DataFrame:
+    """path, qualifier, name, target: uses of `qualifier.name` whose qualifier is bound to a file that defines the name."""
+    bound = bindings.select("path", F.col("binding").alias("qualifier"), "target").distinct()
+    defs = symbols.select(F.col("path").alias("target"), "name").distinct()
+    return uses.select("path", "qualifier", "name").distinct().join(bound, ["path", "qualifier"]).join(defs, ["target", "name"]).select("path", "qualifier", "name", "target")
+
+
+def lands_on(uses: DataFrame, symbols: DataFrame, imports: DataFrame, targets: DataFrame) -> DataFrame:
+    """path, name, tier, lands: whether a candidate of the use's deciding tier lies in `targets` (path). Counts only, as in resolve."""
+    wanted = targets.select(F.col("path").alias("target")).distinct()
+    hit = symbols.select("name", F.col("path").alias("target")).distinct().join(wanted, "target", "left_semi")
+    own = hit.select("name", F.col("target").alias("path"), F.lit(True).alias("_own"))
+    seen = imports.select(F.col("src").alias("path"), F.col("dst").alias("target")).join(hit, "target").select("path", "name", F.lit(True).alias("_seen")).distinct()
+    any_ = hit.select("name", F.lit(True).alias("_any")).distinct()
+    rows = resolve(uses, symbols, imports).join(own, ["path", "name"], "left").join(seen, ["path", "name"], "left").join(any_, "name", "left")
+    mark = F.when(F.col("tier") == "same_file", F.col("_own")).when(F.col("tier") == "imported", F.col("_seen")).otherwise(F.col("_any"))
+    return rows.select("path", "name", "tier", F.coalesce(mark, F.lit(False)).alias("lands"))
+
+
+def explain(edges: DataFrame, node: str, limit: int = 10) -> DataFrame:
+    """direction, relation, tier, total, place, other, name: what leads out of a node and into it, at most `limit` of each
+    relation and tier, `total` before the limit."""
+    out = edges.where(F.col("src") == node).select(F.lit("out").alias("direction"), "relation", "tier", F.col("dst").alias("other"), "name")
+    into = edges.where(F.col("dst") == node).select(F.lit("in").alias("direction"), "relation", "tier", F.col("src").alias("other"), "name")
+    group = ["direction", "relation", "tier"]
+    rows = out.unionByName(into)
+    totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
+    by = W.partitionBy(*group).orderBy("other", "name")
+    top = rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit)
+    return top.join(totals, group).select(*group, "total", "place", "other", "name")

@@ -48,3 +48,8 @@ def baseline(runs: DataFrame) -> DataFrame:
 def severity_counts(findings: DataFrame) -> DataFrame:
     """candidate, warning, advisory, not_checked."""
     return findings.groupBy("candidate").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("warning", "advisory", "not_checked")])
+
+
+def verdict_lines(statuses: DataFrame) -> DataFrame:
+    """run, id, line: a JSON line for each verdict."""
+    return statuses.select("run", "id", F.to_json(F.struct(F.lit("candidate").alias("record"), "run", "id", "status")).alias("line"))
