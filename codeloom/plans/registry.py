@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import more  # noqa: F401 (registers its queries)
+from codeloom.plans import changes, more  # noqa: F401 (they register their queries)
 from codeloom.plans.queries import QUERIES, SQL
 
 SMALLEST = "/root/testdata/sf0.001"
