@@ -37,14 +37,18 @@ def writing(spark: SparkSession, root: str) -> Iterator[None]:
 def publish(tables: Mapping[str, DataFrame], root: str, generation: str) -> None:
     """Writes the tables as one generation, then lets the marker file `_at-generation` name it.
 
-    Readers see the generation before or this one, never a part: the marker is made after all tables are there.
+    Readers see the generation before or this one, never a part: the marker is made after all tables are there. A name
+    stands for its contents (as a digest does): a generation published before is named again, not written again, so that
+    who reads it is not disturbed; what a lost writer left without a marker is overwritten.
     """
     spark = next(iter(tables.values())).sparkSession
     with writing(spark, root):
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{root}/{generation}/{name}")
+        known = _markers(spark, root)
+        if generation not in {g for _, g in known}:
+            for name, df in tables.items():
+                df.write.mode("overwrite").parquet(f"{root}/{generation}/{name}")
         fs, path = _fs(spark, root)
-        last = max((n for n, _ in _markers(spark, root)), default=0)
+        last = max((n for n, _ in known), default=0)
         fs.createNewFile(path(f"{root}/_at-{last + 1:09d}-{generation}"))
 
 

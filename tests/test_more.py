@@ -74,7 +74,7 @@ def test_generations(spark, tmp_path):
     with store.writing(spark, root), pytest.raises(store.Busy):
         store.publish({"t": df}, root, "three")
     store.publish({"t": df}, root, "one")
-    assert store.current(spark, root) == "one"
+    assert store.current(spark, root) == "one" and old.count() == 3
 
 
 def test_files_appear_whole_or_not_at_all(tmp_path):
