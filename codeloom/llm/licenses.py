@@ -3,12 +3,13 @@
 Method. A multinomial logistic regression over word unigrams and bigrams is trained in numpy on the driver. Its vocabulary
 is that of the licence wordings below (notices, and names in the frames that notices put them in), without common function
 words on their own; any other word has weight 0, so text around a notice does not drown it. It is trained on wordings
-whole, shortened and amid prose, and on prose without a notice, which is the class `unknown`. On made windows kept aside a
-temperature is fitted, and the least probability at which predictions there are right 99 times of 100 is the limit below
-which a window is `unknown`. A paragraph is scored in windows of `WINDOW` words, one every `STRIDE`, so that a notice of up
-to WINDOW - STRIDE words lies whole in one; it gives a row for each family found, from that family's best window. A
-prediction is confirmed by comparison with its family's wordings: the share of a wording's distinct words that the window
-holds.
+whole, shortened and amid prose; the class `unknown` is prose without a notice and notices of licences outside the families
+(`OTHERS`), whose own words are no features, so that an unheard-of licence looks like them. Every second one of these is left
+out of training. On them and on made windows kept aside a temperature is fitted, and the least probability at which
+predictions there are right 99 times of 100 is the limit below which a window is `unknown`. A paragraph is scored in windows
+of `WINDOW` words, one every `STRIDE`, so that a notice of up to WINDOW - STRIDE words lies whole in one; it gives a row for
+each family found, from that family's best window. A prediction is confirmed by comparison with its family's wordings: the
+share of a wording's distinct runs of `RUN` words (of the whole wording, if shorter) that the window holds.
 
 Only windows with a gated word are scored. The gate follows from the weights (`gate`): with every other gram of the
 vocabulary that lifts a family over `unknown` present at once, no family reaches the limit, so no window without a gated
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "unknown"
 BUCKETS = 1 << 13
 WINDOW, STRIDE = 60, 20
-CONFIRMED = 0.7
+RUN, CONFIRMED = 3, 0.7
 #: Beginnings of words that are gated whatever the weights are; each template holds one.
 STEMS = ("licen", "permission", "redistribution", "unencumbered")
 #: Wording of the licences' notices, by family.
@@ -93,8 +94,8 @@ WORDINGS: dict[str, list[str]] = {
 NAMES: dict[str, list[str]] = {
     "MIT": ["MIT", "MIT License", "Expat license", "MIT/X11 license"],
     "Apache-2.0": ["Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 license", "Apache Software License 2.0"],
-    "GPL-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPLv2", "GPL v2", "GNU GPL v2", "GNU GPL version 2", "GNU GPLv2", "GNU General Public License v2.0", "GNU General Public License version 2"],
-    "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPLv3", "GPL v3", "GNU GPL v3", "GNU GPL version 3", "GNU GPLv3", "GNU General Public License v3.0", "GNU General Public License version 3"],
+    "GPL-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPLv2", "GPL v2", "GPLv2 or later", "GNU GPL v2", "GNU GPL version 2", "GNU GPLv2", "GNU General Public License v2.0", "GNU General Public License version 2"],
+    "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPLv3", "GPL v3", "GPLv3 or later", "GNU GPL v3", "GNU GPL version 3", "GNU GPLv3", "GNU General Public License v3.0", "GNU General Public License version 3"],
     "LGPL": ["LGPL-2.1", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPLv3", "LGPL v2.1", "GNU LGPL", "GNU LGPL v3", "GNU Lesser General Public License v3.0", "GNU Lesser General Public License version 2.1"],
     "AGPL": ["AGPL-3.0", "AGPL-3.0-or-later", "AGPL-3.0-only", "AGPLv3", "AGPL v3", "GNU AGPL v3", "GNU AGPL version 3", "GNU Affero General Public License v3.0", "GNU Affero General Public License version 3"],
     "BSD": ["BSD-3-Clause", "BSD-2-Clause", "BSD license", "BSD 3-Clause License", "BSD 2-Clause License", "New BSD License", "Simplified BSD License"],
@@ -109,6 +110,41 @@ FRAMES = [
     "Licensed under {}.", "Licensed under the {}.", "Distributed under the terms of the {}.", "Released under the {}.", "SPDX-License-Identifier: {}", "License: {}", "This program is free software under the {}.",
     "Available under the {}.", "See the {} for details.", "Published under {}.", "Covered by the {}.", "All code is under the {} unless stated otherwise.", "Dedicated to the public under {}.", "Use of this package is governed by the {}.", "licence = {}",
 ]
+#: Licences outside the families, by what notices call them; every second calibrates and trains nothing.
+OTHERS: dict[str, list[str]] = {
+    "EPL": ["EPL-2.0", "Eclipse Public License 2.0", "Eclipse Public License - v 1.0"],
+    "BSL": ["BSL-1.0", "Boost Software License, Version 1.0"],
+    "Zlib": ["Zlib", "zlib License", "zlib/libpng license"],
+    "EUPL": ["EUPL-1.2", "European Union Public Licence 1.2"],
+    "Artistic": ["Artistic-2.0", "Artistic License 2.0", "Perl Artistic License"],
+    "CDDL": ["CDDL-1.0", "Common Development and Distribution License 1.0"],
+    "MS-PL": ["MS-PL", "Microsoft Public License"],
+    "PSF": ["PSF-2.0", "Python Software Foundation License Version 2"],
+    "OFL": ["OFL-1.1", "SIL Open Font License, Version 1.1"],
+    "AFL": ["AFL-3.0", "Academic Free License version 3.0"],
+    "OSL": ["OSL-3.0", "Open Software License 3.0"],
+    "CPL": ["CPL-1.0", "Common Public License Version 1.0"],
+    "GFDL": ["GFDL-1.3", "GNU Free Documentation License, Version 1.3"],
+    "QPL": ["QPL-1.0", "Q Public License version 1.0"],
+    "PostgreSQL": ["PostgreSQL", "PostgreSQL License"],
+    "PHP": ["PHP-3.01", "PHP License, version 3.01"],
+    "ODbL": ["ODbL-1.0", "Open Database License 1.0"],
+    "UPL": ["UPL-1.0", "Universal Permissive License 1.0"],
+    "CC-BY-ND": ["CC-BY-ND-4.0", "CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "SSPL": ["SSPL-1.0", "Server Side Public License, version 1"],
+    "BUSL": ["BUSL-1.1", "Business Source License 1.1"],
+    "Elastic": ["Elastic-2.0", "Elastic License 2.0"],
+}
+#: Wordings of some of them, used as their names are.
+OTHER_WORDINGS: dict[str, list[str]] = {
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "BSL": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
+    "CDDL": ["The contents of this file are subject to the terms of the Common Development and Distribution License. You may not use this file except in compliance with the License."],
+    "OFL": ["Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use, study, copy, merge, embed, modify, redistribute, and sell modified and unmodified copies of the Font Software"],
+    "PostgreSQL": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"],
+    "GFDL": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"],
+}
 #: Prose that is no notice, for the class `unknown` and for the text around notices.
 _OTHER = [
     "He renewed his driving licence last week.", "The shop lost its license to sell wine.", "Poetic licence is allowed in this poem.", "A licensed engineer must sign the plan.", "The painting is in the public domain of taste.",
@@ -151,6 +187,11 @@ def vocabulary() -> frozenset[str]:
     return frozenset(g for ts in wordings().values() for t in ts for g in _grams(_words(t)) if any(w not in _PLAIN for w in g.split()))
 
 
+def _runs(words: list[str]) -> list[str]:
+    """Distinct runs of RUN words; the whole as one if there are fewer."""
+    return list(dict.fromkeys(" ".join(words[i : i + RUN]) for i in range(max(1, len(words) - RUN + 1))))
+
+
 def _bucket(gram: str) -> int:
     return zlib.crc32(gram.encode()) % BUCKETS
 
@@ -218,7 +259,7 @@ class Model:
 
 @lru_cache(1)
 def train(seed: int = 11, each: int = 8, epochs: int = 30) -> Model:
-    """Stochastic gradient descent on made windows; every fifth calibrates."""
+    """Stochastic gradient descent on made windows; every fifth and the licences left out calibrate."""
     rng = random.Random(seed)
     families = [UNKNOWN, *TEMPLATES]
     common = [w for ts in wordings().values() for s in ts for w in _words(s)]
@@ -232,11 +273,13 @@ def train(seed: int = 11, each: int = 8, epochs: int = 30) -> Model:
         return words[at : at + rng.randint(0, most)]
 
     made: list[tuple[list[int], int]] = []
+    far: list[tuple[list[int], int]] = []  # windows of licences that are left out of training
     for at, family in enumerate(families):
         plain = [n for n in NAMES.get(family, []) if len(_words(n)) > 1 or any(c.isdigit() for c in n)]  # telling without a frame
         for text in [*_OTHER, *_PROSE] * 8 if family == UNKNOWN else [*wordings()[family], *plain * 3]:
-            # names in frames are many, so other wordings come more often
-            for _ in range(5 * each if family == UNKNOWN or text in TEMPLATES[family] or text in WORDINGS[family] else each):
+            # names in frames are many, so other wordings come more often, and so do short ones, which say least
+            often = family == UNKNOWN or text in TEMPLATES[family] or text in WORDINGS[family] or len(_words(text)) < 5
+            for _ in range(5 * each if often else each):
                 words = [w for w in _words(text) if rng.random() > 0.04]
                 if family == UNKNOWN and rng.random() < 0.4:
                     words = rng.choices(common, k=rng.randint(1, 30))
@@ -246,14 +289,22 @@ def train(seed: int = 11, each: int = 8, epochs: int = 30) -> Model:
                 before, after = around(), around()
                 room = max(0, WINDOW - len(words))
                 made.append((_buckets([*before[-(room // 2) :], *words, *after[: room - room // 2]] if room > 1 else words[:WINDOW]), at))
+    others = [[*OTHER_WORDINGS.get(f, []) * 5, *(x.format(n) for n in ns for x in FRAMES), *ns] for f, ns in OTHERS.items()]
+    for held, group in ((False, others[0::2]), (True, others[1::2])):
+        for words in [_words(t) for ts in group for t in ts for _ in range(each)]:
+            before, after = around(), around()
+            room = max(0, WINDOW - len(words))
+            (far if held else made).append((_buckets([*before[-(room // 2) :], *words, *after[: room - room // 2]] if room > 1 else words[:WINDOW]), 0))
     rng.shuffle(made)
+    fitted = len(made)
+    made += far
     x = np.zeros((len(made), BUCKETS), np.float32)
     for i, (b, _) in enumerate(made):
         x[i, b] = 1
     own = np.flatnonzero(x.any(axis=0))
     x = x[:, own]
     y = np.array([c for _, c in made])
-    aside = np.arange(len(made)) % 5 == 4
+    aside = (np.arange(len(made)) % 5 == 4) | (np.arange(len(made)) >= fitted)
     order = np.random.default_rng(seed)
     w, bias = np.zeros((len(own), len(families)), np.float32), np.zeros(len(families), np.float32)
     fit = np.flatnonzero(~aside)
@@ -326,10 +377,16 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows = rows.select("doc_id", "paragraph", F.explode(F.when(F.size(found) > 0, each).otherwise(F.filter(F.array(F.array_min("j")), lambda x: x.isNotNull()))).alias("x"))
     rows = rows.select("doc_id", "paragraph", F.col("x.w").alias("w"), "x.probability", F.element_at(names, F.col("x.at")).alias("family"))
 
-    texts = [{"family": f, "name": f"{f}#{i}", "words": list(dict.fromkeys(_words(t)))} for f, ts in wordings().items() for i, t in enumerate(ts)]
-    templates = _constant(texts, "array<struct<family:string,name:string,words:array<string>>>")
+    texts = [{"family": f, "name": f"{f}#{i}", "runs": _runs(_words(t))} for f, ts in wordings().items() for i, t in enumerate(ts)]
+    templates = _constant(texts, "array<struct<family:string,name:string,runs:array<string>>>")
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: i <= F.size("w"))
+
+    def held(n: int) -> Column:
+        return F.transform(ends, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+
     own = F.filter(templates, lambda t: t["family"] == F.col("family"))
-    near = F.transform(own, lambda t: F.struct((F.size(F.array_intersect(t["words"], F.col("w"))) / F.size(t["words"])).alias("s"), t["name"].alias("n")))
+    rows = rows.withColumn("held", F.array_distinct(F.concat(*map(held, range(1, RUN + 1)))))  # shorter runs for wordings that have no longer one
+    near = F.transform(own, lambda t: F.struct((F.size(F.array_intersect(t["runs"], F.col("held"))) / F.size(t["runs"])).alias("s"), t["name"].alias("n")))
     rows = rows.withColumn("best", F.array_max(near))
     similarity = F.coalesce(F.col("best.s"), F.lit(0.0))
     return rows.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.col("best.n").alias("template"), F.round(similarity, 6).alias("similarity"), (similarity >= CONFIRMED).alias("confirmed"))

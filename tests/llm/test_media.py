@@ -6,7 +6,7 @@ import struct
 import zipfile
 import zlib
 
-from codeloom.llm.media import UNKNOWN, find_media, from_samples, media_digests, sniff, to_samples
+from codeloom.llm.media import SIGNATURES, UNKNOWN, find_media, from_samples, media_digests, sniff, to_samples
 
 
 def png():
@@ -60,3 +60,23 @@ def test_digests_equal_a_plain_computation(spark):
         assert from_samples(stored) == payload
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes) == (len(raw), len(payload), zlib.crc32(payload[-64:]), len(stored))
         assert (r.payload_sha256, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(stored).hexdigest())
+
+
+def test_feature_against_every_place_and_plain_sums(spark):
+    rng = random.Random(5)
+    texts = ["", None, "BM", "x" * 64 + "\0" * 7, "é" * 50, "z" * 100_000]
+    inside = [BMP.decode(), to_samples(b"abcde").decode(), "GIF89a", "RIFF", "BM", "PK\3\4", "river ", "\0" * 9]
+    texts += ["".join(rng.choices(inside, k=rng.randint(1, 12))) for _ in range(60)]
+    texts += texts[6:8] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    many = 0
+    for r in media_digests(df).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
+        stored = to_samples(payload)
+        view = memoryview(stored)
+        media = sorted((at, kind) for at in range(1, len(stored)) for magic, kind, check in SIGNATURES if stored.startswith(magic, at) and check(view, at))
+        many += len(media)
+        inner = ",".join(f"{kind}@{at}" for at, kind in media)
+        assert r.feature == f"audio/wav;{len(payload)};{inner};{sum(payload) / len(payload):.6f};{payload.count(0) / len(payload):.6f}"
+    assert many > 60

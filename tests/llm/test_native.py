@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 
 import pytest
 
-from codeloom.llm.licenses import STEMS, TEMPLATES, scan, train, vocabulary
+from codeloom.llm.licenses import CONFIRMED, OTHERS, RUN, STEMS, STRIDE, TEMPLATES, WINDOW, scan, train, vocabulary, wordings
 from codeloom.llm.mixing import _STATS, _measured, copies, fit_rates, label_domains, learn, memberships, mix
 from pyspark.sql import functions as F
 
@@ -74,6 +75,62 @@ def test_wordings_without_a_stem_or_template_are_found(spark):
     assert got == said
 
 
+def test_licences_of_no_family_are_unknown_and_not_confirmed(spark):
+    """The first three are neither trained on nor calibrated with; the others look most like a family's wordings."""
+    none = [
+        "Licensed under the Reciprocal Public License 1.5.", "This work is licensed under the LaTeX Project Public License 1.3c.", "Distributed under the Open Government Licence v3.0",
+        "Licensed under the Eclipse Public License 2.0.", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the GNU Free Documentation License, Version 1.3.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software",
+    ]
+    got = scan(spark.createDataFrame(list(enumerate(none)), "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.family, r.confirmed) for r in sorted(got, key=lambda r: r.doc_id)] == [(i, "unknown", False) for i in range(len(none))]
+
+
+def test_own_wordings_are_found_and_names_of_others_are_not():
+    model = train()
+    own = [(f, t) for f, ts in wordings().items() for t in ts]
+    assert sum(model.predict(t)[0] == f for f, t in own) >= 0.97 * len(own)
+    others = [f"Licensed under the {n}." for ns in OTHERS.values() for n in ns]
+    assert sum(model.predict(t)[0] == "unknown" for t in others) >= 0.97 * len(others)
+
+
+def test_rows_against_plain_python(spark):
+    """Every column, with runs compared one by one; repeated rows, several families and ties within a paragraph."""
+    rng = random.Random(8)
+    words = [w for ts in wordings().values() for t in ts for w in re.findall("[a-z0-9]+", t.lower())]
+    texts = [" ".join(rng.choice([rng.choice(rng.choice(list(wordings().values()))), " ".join(rng.choices(words, k=9))]) for _ in range(rng.randint(1, 6))) for _ in range(120)]
+    texts += [texts[0], texts[0], "Released under the MIT License. " * 9, "Released under the MIT License. " + "river " * 90 + "Released under the BSD license.", "licence", "GPLv3 or later"]
+    model = train()
+    search = re.compile(model.pattern())
+
+    def plain(text):
+        found = {}
+        w = re.findall("[a-z0-9]+", text.lower())
+        for at in range(0, max(len(w) - WINDOW + STRIDE - 1, 0) + 1, STRIDE):
+            if search.search(" ".join(w[at : at + WINDOW])):
+                family, p = model.window(w[at : at + WINDOW])
+                found.setdefault(family, []).append((p, w[at : at + WINDOW]))
+        if len(found) > 1:
+            found.pop("unknown", None)
+        for family, each in found.items():
+            p, window = min(each) if family == "unknown" else max(each)
+            best = (0.0, None)
+            for i, wording in enumerate(wordings().get(family, [])):
+                own = re.findall("[a-z0-9]+", wording.lower())
+                n = min(RUN, len(own))
+                runs = {tuple(own[j : j + n]) for j in range(len(own) - n + 1)}
+                held = sum(any(tuple(window[k : k + n]) == r for k in range(len(window))) for r in runs)
+                best = max(best, (held / len(runs), f"{family}#{i}"), key=lambda x: (x[0], x[1] or ""))
+            yield family, pytest.approx(p, abs=2e-6), best[1], pytest.approx(best[0], abs=1e-6), best[0] >= CONFIRMED
+
+    got = {}
+    for r in scan(spark.createDataFrame([(i, re.sub("[\n]", " ", t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.family, r.probability, r.template, r.similarity, r.confirmed))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, []), key=lambda x: x[0]) == sorted(plain(t), key=lambda x: x[0]), t
+    assert got[0] == got[120] == got[121]
+
+
 def test_no_window_outside_the_gate_can_reach_the_limit():
     model = train()
     gate = model.gate()
