@@ -298,11 +298,10 @@ def train(seed: int = 11, each: int = 8, epochs: int = 30) -> Model:
     rng.shuffle(made)
     fitted = len(made)
     made += far
-    x = np.zeros((len(made), BUCKETS), np.float32)
+    own = np.unique(np.concatenate([np.array(b, np.int64) for b, _ in made]))
+    x = np.zeros((len(made), len(own)), np.uint8)  # only the buckets in use, a byte each
     for i, (b, _) in enumerate(made):
-        x[i, b] = 1
-    own = np.flatnonzero(x.any(axis=0))
-    x = x[:, own]
+        x[i, np.searchsorted(own, b)] = 1
     y = np.array([c for _, c in made])
     aside = (np.arange(len(made)) % 5 == 4) | (np.arange(len(made)) >= fitted)
     order = np.random.default_rng(seed)
@@ -311,14 +310,15 @@ def train(seed: int = 11, each: int = 8, epochs: int = 30) -> Model:
     for epoch in range(epochs):
         rate = 0.5 / (1 + epoch / 5)
         for at in np.array_split(order.permutation(fit), max(1, len(fit) // 64)):
-            z = x[at] @ w + bias
+            seen = x[at].astype(np.float32)
+            z = seen @ w + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(at)), y[at]] -= 1
-            w -= rate * (x[at].T @ p / len(at) + 1e-4 * w)
+            w -= rate * (seen.T @ p / len(at) + 1e-4 * w)
             bias -= rate * p.mean(axis=0)
     w, bias = w.astype(float).round(4), bias.astype(float).round(4)
-    z = x[aside] @ w + bias
+    z = np.concatenate([x[at].astype(float) @ w for at in np.array_split(np.flatnonzero(aside), max(1, aside.sum() // 1024))]) + bias
 
     def probabilities(heat: float) -> np.ndarray:
         e = np.exp((z - z.max(axis=1, keepdims=True)) / heat)
