@@ -153,6 +153,7 @@ _OTHER = [
     "The Mozilla foundation released a new browser, version 3, to the general public.", "The general public is free to use the library on Sundays.", "Version 3 of the plan was published by the city council.", "Creative people in the commons room wrote this work together.",
     "The work was distributed to all members under the terms of the contract.", "Any person may obtain a copy of the report free of charge from the public office.", "The author of the software gave no warranty for the machine that was sold.", "Nobody had permission to enter the building without a notice.",
     "Copyright law protects the rights of an author for many years.", "The court found that the holder was liable for damages and costs.", "The goods are provided as described, with a particular purpose in mind.", "GNU is an animal in a story, and the story is free for all.",
+    "Wir fahren mit dem Zug nach Hause und kommen mit den Kindern wieder.", "Sie hat mit ihm von der Arbeit gesprochen, und er ist mit ihr gegangen.", "Das Haus mit dem Garten ist alt, und die Leute sind mit der Stadt zufrieden.",
 ]
 _PROSE = [
     "It was a long day and the rain had not stopped since the morning, so we stayed in and read the papers that were left on the table.", "The committee will meet again in June to decide which of the two plans should be used for the new school and how it is to be paid for.",
@@ -280,7 +281,9 @@ def train(seed: int = 11, each: int = 8, epochs: int = 30) -> Model:
             # names in frames are many, so other wordings come more often, and so do short ones, which say least
             often = family == UNKNOWN or text in TEMPLATES[family] or text in WORDINGS[family] or len(_words(text)) < 5
             for _ in range(5 * each if often else each):
-                words = [w for w in _words(text) if rng.random() > 0.04]
+                words = _words(text)
+                if len(words) > 12:  # a shorter one could lose the word that tells
+                    words = [w for w in words if rng.random() > 0.04]
                 if family == UNKNOWN and rng.random() < 0.4:
                     words = rng.choices(common, k=rng.randint(1, 30))
                 elif family != UNKNOWN and len(words) > 24 and rng.random() < 0.3:

@@ -57,6 +57,8 @@ def test_notices_amid_a_thousand_words_are_found(spark):
     for i, f in want.items():
         at = rng.choice([0, 1, 137, 500, 990, 1000])
         rows.append((i, " ".join([*filler[:at], rng.choice(TEMPLATES[f]), *filler[at:]])))
+    rows.append((98, "Er kam mit dem Rad und mit seiner Schwester, und sie gingen mit uns nach Hause. Licensed under the Apache License, Version 2.0."))
+    want[98] = "Apache-2.0"
     rows.append((99, " ".join([TEMPLATES["MIT"][0], *filler[:300], TEMPLATES["Apache-2.0"][0]])))
     got = [(r.doc_id, r.family) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()]
     assert sorted(got) == sorted([*want.items(), (99, "MIT"), (99, "Apache-2.0")])
