@@ -40,26 +40,26 @@ def _modules(spark, sf_dir) -> DataFrame:
     " UNION ALL SELECT path, 'make_' || s, 'function', 8, 9, '', 'def make_' || s || '(a, b=1)', '' FROM modules WHERE k % 11 <> 0"
 )
 def python_symbols(spark, sf_dir):
-    s = code.symbols(code.extract(_modules(spark, sf_dir)))
+    s = code.symbols(code.extract(_modules(spark, sf_dir), ["symbol"]))
     return s.select("path", "name", "kind", F.col("line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), "parent", "signature", "docstring")
 
 
 @query(f"WITH {_MODULES} SELECT path AS importer, 'os' AS module, '' AS names, 0::BIGINT AS level, 1::BIGINT AS line FROM modules WHERE k % 11 <> 0 UNION ALL SELECT path, 'pkg.mod' || seven, 'base' || five, 0, 2 FROM modules WHERE k % 11 <> 0")
 def python_imports(spark, sf_dir):
-    i = code.imports(code.extract(_modules(spark, sf_dir)))
+    i = code.imports(code.extract(_modules(spark, sf_dir), ["import"]))
     return i.select("importer", "module", F.array_join("names", ",").alias("names"), F.col("level").cast("long").alias("level"), F.col("line").cast("long").alias("line"))
 
 
 @query(f"WITH {_MODULES} SELECT path, 'Base' || five AS name, 4::BIGINT AS line FROM modules WHERE k % 11 <> 0 UNION ALL SELECT path, 'base' || five, 9 FROM modules WHERE k % 11 <> 0 UNION ALL SELECT path, 'LIMIT_' || s, 3 FROM modules WHERE k % 11 <> 0")
 def python_references(spark, sf_dir):
     """What other files may define; the binding of an upper-case name at the top of a module counts as a reference too."""
-    r = code.references(code.extract(_modules(spark, sf_dir)))
+    r = code.references(code.extract(_modules(spark, sf_dir), ["reference"]))
     return r.select("path", "name", F.col("line").cast("long").alias("line"))
 
 
 @query(f"WITH {_MODULES} SELECT path FROM modules WHERE k % 11 = 0")
 def skipped_files(spark, sf_dir):
-    return code.skipped(code.extract(_modules(spark, sf_dir))).select("path")
+    return code.skipped(code.extract(_modules(spark, sf_dir), ["skipped"])).select("path")
 
 
 def _candidates(spark, sf_dir) -> DataFrame:

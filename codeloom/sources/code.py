@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions import other_source, python_source
+from codeloom.plans.lineage import dealt
 
 MAX_DEPTH, MAX_FILES, MAX_BYTES, MAX_FILE_BYTES = 20, 20_000, 200_000_000, 1_000_000
 FACTS = (
     "path string, fact string, ordinal int, name string, kind string, line int, end_line int, signature string, parent string, docstring string, decorators array<string>, bases array<string>, "
     "is_public boolean, is_async boolean, module string, names array<string>, is_relative boolean, level int, role string, qualifier string, reason string, citations array<string>"
 )
-_COLUMNS = [c.strip().split(" ")[0] for c in FACTS.split(", ")]
+_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_SCHEMA = pa.schema([(name, _TYPES[kind]) for name, kind in (c.split(" ") for c in FACTS.split(", "))])
 
 
 def scan(spark: SparkSession, root: str, *, max_depth: int = MAX_DEPTH, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -43,10 +45,11 @@ def _facts(path: str, lang: str, text: str | None) -> list[dict]:
         return [{"fact": "skipped", "reason": f"larger than {MAX_FILE_BYTES} bytes"}]
     python = lang == "python"
     try:
-        found = python_source.symbols(text) if python else other_source.symbols(text, lang)
+        tree = python_source.tree(text) if python else None
+        found = python_source.symbols(tree) if python else other_source.symbols(text, lang)
         out = [{"fact": "symbol"} | s for s in found]
-        out += [{"fact": "import"} | s for s in (python_source.imports(text) if python else other_source.imports(text, lang))]
-        out += [{"fact": "reference"} | s for s in (python_source.references(text) if python else other_source.references(text, lang))]
+        out += [{"fact": "import"} | s for s in (python_source.imports(tree) if python else other_source.imports(text, lang))]
+        out += [{"fact": "reference"} | s for s in (python_source.references(tree) if python else other_source.references(text, lang))]
         if python:
             for note, at in python_source.attach(found, python_source.rationales(text)):
                 out.append({"fact": "rationale", "kind": note["kind"], "signature": note["text"], "line": note["line"], "citations": note["citations"], "parent": found[at]["name"] if at is not None else ""})
@@ -55,20 +58,28 @@ def _facts(path: str, lang: str, text: str | None) -> list[dict]:
         return [{"fact": "skipped", "reason": f"{type(e).__name__}: {getattr(e, 'msg', e)}"}]
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """One row a fact of files (path, lang, text); a file that cannot be read becomes one row `skipped` with its reason."""
+def extract(files: DataFrame, wanted: Collection[str] = ("symbol", "import", "reference", "rationale", "skipped"), rows: int = 20_000) -> DataFrame:
+    """One row a fact of files (path, lang, text); a file that cannot be read becomes one row `skipped` with its reason.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, lang, text in zip(pdf["path"], pdf["lang"], pdf["text"], strict=True):
-                rows += [{"path": path, "ordinal": i} | f for i, f in enumerate(_facts(path, lang, text))]
-            out = pd.DataFrame(rows).reindex(columns=_COLUMNS)
-            for c in ("ordinal", "line", "end_line", "level"):
-                out[c] = out[c].astype("Int32")
-            yield out.astype(object).where(out.notna(), None)
+    Only facts of the `wanted` kinds are handed over; every file is read whole for all of them, so that the same files are
+    skipped whatever is wanted.
+    """
+    names = list(_SCHEMA.names)
 
-    return files.select("path", "lang", "text").mapInPandas(run, FACTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(out: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f.get(c) for f in out], t) for c, t in zip(names, _SCHEMA.types, strict=True)], schema=_SCHEMA)
+
+        for batch in batches:
+            out: list[dict] = []
+            for path, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                out += [f | {"path": path, "ordinal": i} for i, f in enumerate(_facts(path, lang, text)) if f["fact"] in wanted]
+                if len(out) >= rows:
+                    yield table(out)
+                    out = []
+            yield table(out)
+
+    return dealt(files.select("path", "lang", "text"), "path").mapInArrow(run, FACTS)
 
 
 def symbols(facts: DataFrame) -> DataFrame:

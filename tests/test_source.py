@@ -142,3 +142,14 @@ def test_a_tree_becomes_facts(spark, tmp_path):
     assert [(r.importer, r.target) for r in got.collect()] == [("shop/item.py", "shop/base.py")]
     with pytest.raises(ValueError):
         code.scan(spark, str(tmp_path), max_files=2)
+
+
+def test_small_texts_of_one_split_are_dealt_and_parsed_once(spark, monkeypatch):
+    files = spark.createDataFrame([(f"m{i}.py", "python", f"import os\nN_{i} = {i}\n" if i % 5 else "def (") for i in range(50)], "path string, lang string, text string").coalesce(1)
+    facts = code.extract(files, ["import"])
+    assert facts.rdd.getNumPartitions() > 1
+    assert {(r.fact, r.module) for r in facts.collect()} == {("import", "os")} and facts.count() == 40
+    assert sorted(r.path for r in code.skipped(code.extract(files, ["skipped"])).collect()) == sorted(f"m{i}.py" for i in range(0, 50, 5))
+    parsed, real = [], p.ast.parse
+    monkeypatch.setattr(p.ast, "parse", lambda text: parsed.append(text) or real(text))
+    assert code._facts("shop.py", "python", SHOP) and len(parsed) == 1
