@@ -5,8 +5,10 @@ from __future__ import annotations
 import difflib
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,31 +55,27 @@ def apply_edits(edits: DataFrame, files: DataFrame) -> DataFrame:
     move with the edits above them. A file that is not there gives no_such_file."""
     if "spans" not in files.columns:
         files = files.withColumn("spans", F.lit(None).cast("array<array<int>>"))
-    rows = edits.where("error is null").join(files.select("path", "text", "spans"), "path", "left").select("candidate", "path", "at", "search", "replace", "text", "spans")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        text = pdf["text"].iloc[0]
-        spans = pdf["spans"].iloc[0]
-        spans = [list(s) for s in spans] if spans is not None else None
-        out = []
+    each = edits.where("error is null").groupBy("candidate", "path").agg(F.array_sort(F.collect_list(F.struct("at", "search", "replace"))).alias("edits"))
+    rows = each.join(files.select("path", "text", "spans"), "path", "left").select("candidate", "path", "edits", "text", "spans")
+    schema = pa.schema([(c, pa.int32() if c in ("at", "matches") else pa.string()) for c in ("candidate", "path", "at", "status", "matches", "text")])
+
+    def apply_all(candidate: str, path: str, todo: list[dict], text: str | None, spans: list[list[int]] | None) -> Iterator[dict]:
         lines = text.split("\n") if text is not None else []
-        for at, search, replace in zip(pdf["at"], pdf["search"], pdf["replace"], strict=True):
-            if text is None:
-                out.append((at, "no_such_file", 0))
-                continue
-            status, n, lines, place, grown = apply_one(lines, search, replace, spans)
-            if status == "applied" and spans:
-                spans = [[a + grown if a > place + 1 else a, b if b == -1 else b + grown if b > place else b] for a, b in spans]
-            out.append((at, status, n))
-        done = pd.DataFrame(out, columns=["at", "status", "matches"])
-        done["candidate"], done["path"] = pdf["candidate"].iloc[0], pdf["path"].iloc[0]
-        done["text"] = None
-        if text is not None:
-            done.loc[done.index[-1], "text"] = "\n".join(lines)
-        return done[["candidate", "path", "at", "status", "matches", "text"]]
-
-    return rows.groupBy("candidate", "path").applyInPandas(run, OUTCOMES)
+        for k, e in enumerate(todo):
+            status, n = "no_such_file", 0
+            if text is not None:
+                status, n, lines, place, grown = apply_one(lines, e["search"], e["replace"], spans)
+                if status == "applied" and spans:
+                    spans = [[a + grown if a > place + 1 else a, b if b == -1 else b + grown if b > place else b] for a, b in spans]
+            last = text is not None and k == len(todo) - 1
+            yield {"candidate": candidate, "path": path, "at": e["at"], "status": status, "matches": n, "text": "\n".join(lines) if last else None}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [r for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in apply_all(*row)]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.mapInArrow(run, OUTCOMES)
 
 
 def normal(text: str, language: str | None) -> str:

@@ -190,3 +190,12 @@ def test_streaming(spark, tmp_path):
     q = keep_index(stream, lambda df, n: got.extend((r.path, r.text) for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(got) == [("a/x", "1"), ("a/x", "2"), ("a/y", "1")]
+
+
+def test_edits_are_dealt_and_applied_without_a_python_group_each(spark):
+    texts = spark.createDataFrame([(f"c{i}", f"f{i}.py\n<<<<<<< SEARCH\nx = {i}\n=======\ny\n>>>>>>> REPLACE\n") for i in range(60)], "candidate string, text string").coalesce(1)
+    parsed = patches.parse(texts)
+    assert parsed.rdd.getNumPartitions() > 1 and parsed.where("error is null").count() == 60
+    files = spark.createDataFrame([(f"f{i}.py", f"a\nx = {i}") for i in range(60)], "path string, text string")
+    out = edits.apply_edits(parsed, files)
+    assert {r.text for r in out.collect()} == {"a\ny"} and "FlatMapGroups" not in out._jdf.queryExecution().toString()
