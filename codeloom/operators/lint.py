@@ -48,11 +48,25 @@ def shadowing(added: DataFrame, removed: DataFrame, tree_symbols: DataFrame) ->
 
 
 def near_duplicates(added: DataFrame, removed: DataFrame, tree_symbols: DataFrame) -> DataFrame:
-    """New bodies equal to one in the tree (body_key), other than the one they replace."""
-    known = tree_symbols.where("body_key is not null").select("body_key", F.col("path").alias("p"), F.col("name").alias("n"))
-    rows = added.where("body_key is not null").join(known, "body_key").where(~((F.col("p") == F.col("path")) & (F.col("n") == F.col("name"))))
-    gone = removed.select("candidate", F.col("path").alias("p"), F.col("name").alias("n")).distinct()
-    rows = rows.join(gone, ["candidate", "p", "n"], "left_anti").groupBy("candidate", "path", "name", "line").agg(F.min(F.concat("p", F.lit("::"), "n")).alias("same"))
+    """New bodies equal to one in the tree (body_key), other than the one they replace.
+
+    The tree's definitions of a key stand in one order; what a change removes are places in it. So the first that a change
+    leaves is found from gaps between its places, the second serves the definition that is itself the first, and no pair of
+    an added and a known definition is made.
+    """
+    named = F.concat("p", F.lit("::"), "n")
+    known = tree_symbols.where("body_key is not null").select("body_key", F.col("path").alias("p"), F.col("name").alias("n")).where(named.isNotNull()).distinct()
+    known = known.withColumn("same", named).withColumn("place", F.row_number().over(W.partitionBy("body_key").orderBy("same", "p", "n")))
+    rows = added.where("body_key is not null and path is not null and name is not null")
+    groups = rows.select("candidate", "body_key").distinct()
+    gone = removed.select("candidate", F.col("path").alias("p"), F.col("name").alias("n")).distinct().join(known, ["p", "n"]).join(groups, ["candidate", "body_key"], "left_semi")
+    below = F.col("place") - F.row_number().over(W.partitionBy("candidate", "body_key").orderBy("place"))  # places before it that are left
+    free = gone.select("candidate", "body_key", below.alias("below")).groupBy("candidate", "body_key").agg(F.count_if(F.col("below") == 0).alias("a"), F.count_if(F.col("below") <= 1).alias("b"))
+    free = groups.join(free, ["candidate", "body_key"], "left").select("candidate", "body_key", F.explode(F.array(F.coalesce("a", F.lit(0)) + 1, F.coalesce("b", F.lit(0)) + 2)).alias("place"))
+    left = free.join(known, ["body_key", "place"]).groupBy("candidate", "body_key").agg(F.array_sort(F.collect_list(F.struct("place", "same", "p", "n"))).alias("left"))
+    other = F.filter("left", lambda x: (x["p"] != F.col("path")) | (x["n"] != F.col("name")))
+    rows = rows.join(left, ["candidate", "body_key"]).withColumn("same", F.get(other, F.lit(0))["same"]).where("same is not null")
+    rows = rows.groupBy("candidate", "path", "name", "line").agg(F.min("same").alias("same"))
     return _finding(rows, "near_duplicates", "advisory", F.concat(F.lit("body of "), "name", F.lit(" is a copy")), F.col("same"))
 
 

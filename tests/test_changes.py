@@ -199,3 +199,26 @@ def test_edits_are_dealt_and_applied_without_a_python_group_each(spark):
     files = spark.createDataFrame([(f"f{i}.py", f"a\nx = {i}") for i in range(60)], "path string, text string")
     out = edits.apply_edits(parsed, files)
     assert {r.text for r in out.collect()} == {"a\ny"} and "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_near_duplicates_by_brute_force_and_with_one_key(spark):
+    import random
+
+    rng = random.Random(5)
+    pick = lambda: (rng.choice("pqr"), rng.choice("abcd"))
+    tree = [(*pick(), rng.choice(["k", "l", None])) for _ in range(20)]
+    added = [(rng.choice("cd"), *pick(), i, rng.choice(["k", "l", "m", None])) for i in range(200)]
+    removed = [(rng.choice("cd"), *pick()) for _ in range(12)]
+    df = lambda rows, schema: spark.createDataFrame(rows, ", ".join(f"{c} string" if c != "line" else "line int" for c in schema.split()))
+    got = lint.near_duplicates(df(added, "candidate path name line body_key"), df(removed, "candidate path name"), df(tree, "path name body_key")).collect()
+    want = {}
+    for c, p, n, i, k in added:
+        same = [f"{q}::{m}" for q, m, j in tree if j is not None and j == k and (q, m) != (p, n) and (c, q, m) not in removed]
+        if same:
+            want[i] = min(same)
+    assert {r.line: r.evidence for r in got} == want and 0 < len(want) < 150
+    # 4e9 pairs of one key, so that making them would not end
+    many = spark.range(200_000).select(F.concat(F.lit("p"), "id").alias("path"), F.lit("n").alias("name"), F.lit("k").alias("body_key"))
+    some = spark.range(20_000).select(F.lit("c").alias("candidate"), F.lit("new").alias("path"), F.lit("n").alias("name"), F.col("id").cast("int").alias("line"), F.lit("k").alias("body_key"))
+    gone = many.limit(0).select(F.lit("c").alias("candidate"), "path", "name").union(df([("c", "p0", "n")], "candidate path name"))
+    assert [tuple(r) for r in lint.near_duplicates(some, gone, many).groupBy("evidence").count().collect()] == [("p100000::n", 20_000)]
