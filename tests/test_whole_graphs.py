@@ -90,3 +90,22 @@ def test_whole_file_graph_against_brute_force(spark):
         reach = (reach @ reach > 0).astype(np.float32)
     both = (reach * reach.T) > 0
     assert {r.node: r.component for r in run["file_cycles"]} == {n: nodes[int(np.argmax(both[i]))] for n, i in at.items() if both[i].sum() > 1}
+
+
+def test_edge_counts_are_those_of_symbol_edges(spark):
+    from codeloom.operators import resolve
+
+    import random
+
+    rng = random.Random(7)
+    uses = spark.createDataFrame([(f"f{rng.randrange(12)}", f"n{rng.randrange(15)}") for _ in range(120)], "path string, name string")
+    symbols = spark.createDataFrame([(f"f{rng.randrange(12)}", f"n{rng.randrange(15)}") for _ in range(25)], "path string, name string")
+    imports = spark.createDataFrame([(f"f{rng.randrange(12)}", f"f{rng.randrange(12)}") for _ in range(20)], "src string, dst string")
+    want: dict = {}
+    for e in resolve.symbol_edges(uses, symbols, imports).collect():
+        want.setdefault((e.src, e.relation, e.tier), []).append((e.dst, e.name))
+    got = {(r.src, r.relation, r.tier): (r.edges, r["first"], r.last_name) for r in resolve.edge_counts(uses, symbols, imports).collect()}
+    assert got == {k: (len(v), min(d for d, _ in v), max(n for _, n in v)) for k, v in want.items()} and len({t for _, _, t in got}) == 3
+    many = spark.range(100_000)  # 1e10 edges
+    counted = resolve.edge_counts(many.selectExpr("concat('u', id) AS path", "'n' AS name"), many.selectExpr("concat('d', id) AS path", "'n' AS name"), imports.limit(0))
+    assert counted.where("edges = 100000 and first = 'd0'").count() == 100_000
