@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.operators.packing import in_tests
+from codeloom.plans.lineage import cut
 
 
 def occurrence_counts(refs: DataFrame) -> DataFrame:
@@ -112,8 +113,10 @@ def shared_callers(symbols: DataFrame, refs: DataFrame, target: str, noisy: Data
     damping of the number of such names; a candidate's score sums the best vote of each file, times its multiplier, by
     the damping of its spread. Candidates with one caller only are left out.
     """
-    owned = enclosing(refs, symbols).where("owner is not null")
-    callers = owned.where(F.col("name") == target).select("path", "owner", "owner_line").distinct()
+    sites = refs.where(F.col("name") == target).select("path", "line").distinct()
+    callers = cut(enclosing(sites, symbols).where("owner is not null").select("path", "owner", "owner_line").distinct())
+    near = callers.select("path").distinct()  # only these files' words are joined with spans
+    owned = enclosing(refs.join(near, "path", "left_semi"), symbols.join(near, "path", "left_semi")).where("owner is not null")
     called = owned.join(callers, ["path", "owner", "owner_line"]).select("path", "owner", "owner_line", "name").distinct()
     index = name_index(symbols, refs)
     called = called.join(index, "name").where((F.col("name") != target) & (F.col("name") != F.col("owner")))

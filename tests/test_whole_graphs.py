@@ -109,3 +109,10 @@ def test_edge_counts_are_those_of_symbol_edges(spark):
     many = spark.range(100_000)  # 1e10 edges
     counted = resolve.edge_counts(many.selectExpr("concat('u', id) AS path", "'n' AS name"), many.selectExpr("concat('d', id) AS path", "'n' AS name"), imports.limit(0))
     assert counted.where("edges = 100000 and first = 'd0'").count() == 100_000
+
+
+def test_shared_callers_keep_no_row_for_each_word(spark, monkeypatch):
+    kept, real = [], queries.graph.cut
+    monkeypatch.setattr(queries.graph, "cut", lambda df: kept.append(df.columns) or real(df))
+    queries.QUERIES["shared_callers"](spark, SF).collect()
+    assert kept and ["path", "name", "line"] not in kept
