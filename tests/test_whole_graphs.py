@@ -92,6 +92,38 @@ def test_whole_file_graph_against_brute_force(spark):
     assert {r.node: r.component for r in run["file_cycles"]} == {n: nodes[int(np.argmax(both[i]))] for n, i in at.items() if both[i].sum() > 1}
 
 
+def test_hubs_stand_for_their_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    links, into = set(), set()
+    for h in range(30):
+        some = rng.sample(range(60), 5)
+        links |= {(f"f{a:02d}", f"h{h}", float(1 + a % 3)) for a in some[:3]}
+        into |= {(f"h{h}", f"f{b:02d}") for b in some[3:]}
+    out, to = spark.createDataFrame(sorted(links), "src string, hub string, weight double"), spark.createDataFrame(sorted(into), "hub string, dst string")
+    pairs = out.join(to, "hub").groupBy("src", "dst").agg({"weight": "sum"}).withColumnRenamed("sum(weight)", "weight").cache()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    first = min(s for s, _, _ in links)
+    assert sorted(rows(graph.hub_hops(out, to, first)), key=str) == sorted(rows(graph.hops(pairs, first)), key=str)
+    assert rows(graph.hub_cycles(out, to)) == rows(graph.cycle_groups(pairs)) != []
+    far = max(graph.hops(pairs, first).collect(), key=lambda r: (r.hops, r.node)).node
+    assert rows(graph.hub_path(out, to, first, far)) == rows(graph.shortest_path(pairs, first, far))
+    nodes = spark.createDataFrame([(f"f{i:02d}",) for i in range(60)], "node string")
+    want = {r.node: r.rank for r in graph.pagerank(nodes, pairs).collect()}
+    assert {r.node: r.rank for r in graph.pagerank(nodes, out, into=to).collect()} == pytest.approx(want, abs=1e-9)
+    three = {r.node: r.rank for r in graph.pagerank(nodes, out, into=to, iterations=3, epsilon=None, small=0).collect()}
+    assert three == pytest.approx({r.node: r.rank for r in graph.pagerank(nodes, pairs, iterations=3, epsilon=None).collect()}, abs=1e-9)
+
+
+def test_a_hub_of_many_files_costs_no_pairs(spark):
+    n = 100_000  # 1e10 pairs
+    links = spark.range(n).selectExpr("concat('a', id) AS src", "'h' AS hub", "1.0D AS weight")
+    into = spark.range(n).selectExpr("'h' AS hub", "concat('b', id) AS dst")
+    assert graph.hub_hops(links, into, "a0", most=2).groupBy("hops").count().count() == 3
+    assert graph.hub_cycles(links, into).count() == 0
+
+
 def test_edge_counts_are_those_of_symbol_edges(spark):
     from codeloom.operators import resolve
 
