@@ -2,10 +2,12 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from codeloom.llm.bpe import Automaton, Vocabulary, decode, encode
+from codeloom.llm import bpe
+from codeloom.llm.bpe import Automaton, Encoder, Vocabulary, byte_letters, decode, encode
 from codeloom.llm.token_counts import token_counts
 
 PIECE, WORD = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -58,3 +60,33 @@ def test_automaton_numbers_its_words_and_shares_suffixes():
     assert all(a.place(w) == -1 for w in ("", "abcabcabc", "d", "abd"))
     suffixes = Automaton.build(sorted(x + "ing" for x in "abcdefgh"))
     assert suffixes[0] == 5  # the root, one state for each rest of "ing", the end
+
+
+def test_words_merged_together_are_those_merged_one_by_one():
+    v, rng, letters = Vocabulary(WORD), random.Random(5), byte_letters()
+    words = ["".join(rng.choice(letters if i % 3 else "abetn") for _ in range(rng.randint(1, 60))) for i in range(3000)]
+    words += [x * n for x in ("a", "e", "-", "=", "an", "e-") for n in range(1, 60)]
+    one = [v.merge(w) for w in words]
+    assert v.ordered and v.merge_all(words) == one and v.merge_all([]) == []
+    v.ordered = False
+    assert v.merge_all(words) == one
+    shapes = Automaton(Automaton.build(sorted({"an", "and", "band", "b", "ét"})))
+    asked = ["an", "", "a", "and", "bandy", "b", "ét", "é", "zz", "band"]
+    assert shapes.places(asked).tolist() == [shapes.place(w) for w in asked]
+
+
+@pytest.mark.parametrize("table", [3, 40, 100_000])
+def test_a_piece_merges_its_unknown_words_together(monkeypatch, table):
+    monkeypatch.setattr(bpe, "TABLE", table)
+    v, rng = Vocabulary(WORD), random.Random(6)
+    made = Encoder(WORD, v.lexicon())
+    calls = []
+    monkeypatch.setattr(made.vocabulary, "merge", lambda w: calls.append(w) or v.merge(w))
+    new = lambda: "".join(rng.choice("qxzjkvñé") for _ in range(rng.randint(4, 12)))
+    texts = [" ".join(new() for _ in range(30)) for _ in range(20)] + [None, "", "Ωδ 中文 \u00a0x ﬁ é", "a <|endoftext|> ñ <|endoftext|>", "x" * 100]
+    texts += [texts[0]] + [f"a {s} Ω {s}" for s in v.special]
+    lib = Tokenizer.from_file(WORD)
+    got = [[int(i) for _, ids, _ in f for i in ids.split()] for f in made.encode_all(texts)]
+    assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [t for f in made.encode_all(texts[-1:]) for t in f][1][2] in v.special
+    assert all(len(w) > bpe.LONG for w in calls)
